@@ -4,19 +4,28 @@ The vocabulary's pre-tokeniser never joins characters across white space and its
 turns every run of white space into one dropped space, so the ids of a text are the ids of
 its space-separated chunks in order. Chunks repeat, texts do not: each distinct chunk goes
 through the library once per worker and generation of the memo.
+
+Two more rules make chunks repeat sooner. The normaliser lower-cases, so A-Z are lower-cased
+before chunks are looked up; a text with combining marks (U+0300 to U+037F) is left as it
+is, since composition comes before lower-casing and not every pair composes in both cases.
+The pre-tokeniser parts a letter from a full stop or comma, so such an ending is looked up
+for itself.
 """
 
 from __future__ import annotations
 
 import os
+from array import array
 from collections.abc import Iterable, Iterator
 
+from tallow.llm.words import slices
+
 VOCABULARY = "word_bpe_49k.json"
 
 #: Chunks kept per generation of the memo; two generations are alive at most.
-MEMO_WORDS = 250_000
-#: Characters of text whose chunks are held as Python strings at once.
-SLICE_CHARS = 1_000_000
+MEMO_WORDS = 400_000
+#: Bytes of text whose chunks are held as Python objects at once.
+SLICE_BYTES = 2 << 20
 
 
 def default_vocabulary() -> str:
@@ -25,8 +34,18 @@ def default_vocabulary() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
+LOWER = bytes(b + 32 if 65 <= b <= 90 else 32 if b == 10 else b for b in range(256))
+BREAKS = bytes(32 if b == 10 else b for b in range(256))
+
+
+def chunked(text: str) -> bytes:
+    """UTF-8 of a text whose chunks are parted by spaces."""
+    data = text.encode("utf-8", "replace")
+    return data.translate(BREAKS if b"\xcc" in data or b"\xcd" in data else LOWER)
+
+
 class Encoder:
-    """``encode(text)`` gives the ids as little-endian unsigned 32-bit bytes."""
+    """``encode_all(texts)`` gives the ids of each text as little-endian unsigned 32-bit bytes."""
 
     def __init__(self, path: str, memo_words: int = MEMO_WORDS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -35,46 +54,62 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.memo_words = memo_words
-        self.young: dict[str, bytes] = {"": b""}
-        self.old: dict[str, bytes] = {}
-
-    def _learn(self, words: set[str]) -> None:
-        import numpy as np
-
-        missing = words - self.young.keys()
-        if self.old and missing:
-            known = missing & self.old.keys()
-            self.young.update((w, self.old[w]) for w in known)
+        self.young: dict[bytes, bytes] = {b"": b""}
+        self.old: dict[bytes, bytes] = {}
+        self.endings = {end: self._encode([end])[0] for end in (".", ",")}
+
+    def _encode(self, words: list[str]) -> list[bytes]:
+        return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _known(self, words: set[bytes]) -> set[bytes]:
+        """Moves what the old generation knows to the young one; the words that neither knows."""
+        young, old = self.young, self.old
+        missing = {w for w in words if w not in young}
+        if old and missing:
+            known = {w for w in missing if w in old}
+            young.update((w, old[w]) for w in known)
             missing -= known
-        if missing:
-            todo = list(missing)
-            for at in range(0, len(todo), 4096):
-                part = todo[at : at + 4096]
-                for word, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                    self.young[word] = np.array(found.ids, dtype="<u4").tobytes()
+        return missing
+
+    def _learn(self, words: set[bytes]) -> None:
+        ended: list[tuple[bytes, bytes, bytes]] = []
+        whole: set[bytes] = set()
+        for word in self._known(words):
+            text = word.decode()
+            if text[-1] in self.endings and text[-2:-1].isalpha():
+                ended.append((word, word[:-1], self.endings[text[-1]]))
+                whole.add(word[:-1])
+            else:
+                whole.add(word)
+        todo = list(self._known(whole))
+        for at in range(0, len(todo), 4096):
+            part = todo[at : at + 4096]
+            self.young.update(zip(part, self._encode([w.decode() for w in part])))
+        young = self.young
+        young.update((word, young[stem] + end) for word, stem, end in ended)
 
     def _turn(self) -> None:
         if len(self.young) > self.memo_words:
-            self.old, self.young = self.young, {"": b""}
+            self.old, self.young = self.young, {b"": b""}
 
     def encode_all(self, texts: Iterable[str | None]) -> Iterator[bytes]:
-        group: list[list[str]] = []
+        group: list[list[bytes]] = []
         held = 0
         for text in texts:
-            text = text or ""
-            if len(text) > SLICE_CHARS:
+            data = chunked(text or "")
+            if len(data) > SLICE_BYTES:
                 yield from self._flush(group)
                 group, held = [], 0
-                yield b"".join(next(self._flush([s.split(" ")])) for s in slices(text))
+                yield b"".join(next(self._flush([s.split(b" ")])) for s in slices(data))
                 continue
-            group.append(text.replace("\n", " ").split(" "))
-            held += len(text)
-            if held > SLICE_CHARS:
+            group.append(data.split(b" "))
+            held += len(data)
+            if held > SLICE_BYTES:
                 yield from self._flush(group)
                 group, held = [], 0
         yield from self._flush(group)
 
-    def _flush(self, group: list[list[str]]) -> Iterator[bytes]:
+    def _flush(self, group: list[list[bytes]]) -> Iterator[bytes]:
         if group:
             self._turn()
             self._learn(set().union(*group))
@@ -83,17 +118,6 @@ class Encoder:
                 yield b"".join(map(get, words))
 
 
-def slices(text: str, size: int = SLICE_CHARS) -> Iterator[str]:
-    """Cut a long text at spaces; a chunk without any stays whole."""
-    text = text.replace("\n", " ")
-    at = 0
-    while at < len(text):
-        end = text.find(" ", at + size)
-        end = len(text) if end < 0 else end
-        yield text[at:end]
-        at = end
-
-
 _ENCODERS: dict[str, Encoder] = {}
 
 
