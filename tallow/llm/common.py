@@ -45,6 +45,10 @@ class Scratch:
         path = jvm.org.apache.hadoop.fs.Path(self.path(name) if name else self.root)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
+    def detach(self) -> None:
+        """Leave this folder out of ``release_scratch``."""
+        _OPEN.remove(self)
+
     def close(self) -> None:
         self.drop()
         if self in _OPEN:

@@ -33,8 +33,8 @@ from tallow.llm.encoding import default_vocabulary, encoder
 
 MAX_TOKENS = 2048
 END_ID = 0
-#: Pieces of one length that are ranked in one task.
-RANKED_TOGETHER = 500_000
+#: Pieces of one length that are ranked together, and parts of a length at most.
+RANKED_TOGETHER, PARTS = 500, 10_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -116,7 +116,7 @@ def pack_documents(
     placed = sweep(counts, max_tokens)
 
     # ranks within a length class: a frequent class is split by a hash, and the parts' sizes summed up
-    parts = 1 + max(counts.values(), default=0) // RANKED_TOGETHER
+    parts = 1 + min(PARTS, max(counts.values(), default=0) // RANKED_TOGETHER)
     dealt = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(parts)).cast("int"))
     sizes = dealt.groupBy("length", "part").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")
