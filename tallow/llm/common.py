@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -66,9 +67,15 @@ def release_scratch(spark: SparkSession) -> None:
 
 
 def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of finished phases, which nothing reads any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark's cleaner drop the shuffle files of finished phases, which nothing reads any more.
+
+    The driver's collector must see the phase's plan go before the cleaner hears of it, and
+    the cleaner works in the background: hence two rounds, and a moment after each.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.7)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
