@@ -5,17 +5,22 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallow.queries import gating
 
 Query = Callable[[SparkSession, str], DataFrame]
+MODULES = (gating,)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {name: f for module in MODULES for name, f in module.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for module in MODULES for name, sql in module.ORACLE_SQL.items()}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/orders.parquet")
+    """The reliability gate, best records first."""
+    return gating.gate_lineitem(spark, sf_dir).orderBy(F.desc("gate"), "pool_id")
