@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallow.queries import gating
+from tallow.queries import diagnosing, gating, texts
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (gating,)
+MODULES = (gating, diagnosing, texts)
 
 
 def queries() -> dict[str, Query]:

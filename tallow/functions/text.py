@@ -157,6 +157,8 @@ def truncated(x: Column, share: Column) -> Column:
 
 def shingles(x: Column, k: int = 3) -> Column:
     """Word k-shingles of the normalised text, distinct; the whole text where it is shorter."""
-    w = words(normalised(x))
-    many = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (k - 1), F.lit(1))), lambda i: F.array_join(F.slice(w, i, k), " "))
-    return F.array_distinct(many)
+
+    def cut(w: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (k - 1), F.lit(1))), lambda i: F.array_join(F.slice(w, i, k), " "))
+
+    return F.array_distinct(F.transform(F.array(words(normalised(x))), cut).getItem(0))  # the words are bound once
