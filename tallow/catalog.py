@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallow.queries import diagnosing, gating, texts
+from tallow.queries import diagnosing, gating, plans, texts
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (gating, diagnosing, texts)
+MODULES = (gating, diagnosing, texts, plans)
 
 
 def queries() -> dict[str, Query]:

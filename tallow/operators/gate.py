@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallow.plans.checkpoints import cut
+
 EPS = 1e-8
 
 
@@ -141,7 +143,7 @@ def apply_undefined(gate: Column, undefined: Column, policy: str) -> Column:
 
 
 def gate(tokens: DataFrame, cfg: GateConfig, min_count: int = 200, max_bins: int = 24, monotone: bool = True) -> DataFrame:
-    rows = components(tokens, cfg)
+    rows = cut(components(tokens, cfg))  # a row a record, read by the curve, the scale and the gate
     centred = centre(rows, null_curve(rows, cfg.alpha, min_count, max_bins, monotone))
     scored = centred.crossJoin(F.broadcast(scale(centred, cfg.target_pct, cfg.target_gate)))
     return scored.withColumn("gate", sigmoid_gate(F.col("delta_hat"), F.col("s")))

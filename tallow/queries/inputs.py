@@ -18,7 +18,7 @@ FROM orders JOIN (SELECT l_orderkey, round(avg(l_extendedprice) / 10000, 10) AS
 
 #: Documents with their labels: quality 0 is dirty.
 LABELLED = """SELECT d.doc_id AS pool_id, d.text, d.lang, d.source, d.n_chars, CASE WHEN l.quality = 0 THEN 1 ELSE 0 END AS dirty,
-  CASE WHEN l.quality = 0 AND l.toxic = 1 THEN 'toxic' WHEN l.quality = 0 THEN 'noisy' ELSE 'clean' END AS type, round(1.0 / (1 + d.n_chars % 997), 6) AS score
+  CASE WHEN l.quality = 0 AND l.toxic = 1 THEN 'toxic' WHEN l.quality = 0 THEN 'noisy' ELSE 'clean' END AS type, round(1e0 / (1 + d.n_chars % 997), 6) AS score
 FROM documents d JOIN labels l ON d.doc_id = l.doc_id"""
 
 #: A user turn and the assistant turn after it.

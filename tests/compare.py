@@ -20,13 +20,13 @@ def connection(sf: str = SF):
 
 def plain(v):
     if isinstance(v, float):
-        return "nan" if math.isnan(v) else round(v, 5) + 0.0
+        return "nan" if math.isnan(v) else round(v, 6) + 0.0
     if isinstance(v, (list, tuple)):
         return tuple(plain(x) for x in v)
     if isinstance(v, bool) or v is None:
         return v
     try:
-        return round(float(v), 5) + 0.0 if not isinstance(v, str) else v
+        return round(float(v), 6) + 0.0 if not isinstance(v, str) else v
     except (TypeError, ValueError):
         return str(v)
 

@@ -1,0 +1,63 @@
+"""Readers, configurations and the streaming form of the windows."""
+
+import json
+
+import pytest
+
+from tallow.plans import configs
+from tallow.sources import readers
+from tallow.streaming import events
+
+
+def test_formats(spark, tmp_path):
+    rows = [{"instruction": f"i{n}", "output": f"o{n}", "other": n} for n in range(3)]
+    (tmp_path / "a.json").write_text("﻿" + json.dumps(rows))
+    (tmp_path / "b.jsonl").write_text("\n".join(map(json.dumps, rows)) + "\n\n")
+    (tmp_path / "c.json").write_text("\n".join(map(json.dumps, rows)))
+    spark.createDataFrame(rows).write.parquet(str(tmp_path / "d"))
+    spark.createDataFrame(rows).coalesce(1).write.parquet(str(tmp_path / "e.parquet"))
+    for name in ("a.json", "b.jsonl", "c.json", "d", "e.parquet"):
+        got = readers.read_pool(spark, str(tmp_path / name))
+        assert sorted((r.instruction, r.input, r.output) for r in got.collect()) == [(f"i{n}", "", f"o{n}") for n in range(3)]
+    with pytest.raises(readers.SchemaError):
+        readers.require(spark.createDataFrame(rows), "missing")
+
+
+def test_chat_layouts(spark):
+    a = spark.createDataFrame([(["q", "r"],)], "conversations array<string>")
+    b = spark.createDataFrame([([("user", "q"), ("assistant", "r")],)], "messages array<struct<role:string,content:string>>")
+    c = spark.createDataFrame([("q", "r")], "prompt string, response string")
+    for rows in (a, b, c):
+        assert [tuple(r) for r in readers.normalise_chat(rows).collect()] == [("q", "", "r")]
+
+
+def test_squad(spark, tmp_path):
+    data = {"data": [{"paragraphs": [{"context": "c", "qas": [{"id": "en-1", "question": "q", "answers": [{"text": "x"}]}, {"id": "en-2", "question": "p", "answers": []}]}]}]}
+    (tmp_path / "s.json").write_text(json.dumps(data))
+    got = {r.id: (r.answers, r.language) for r in readers.read_squad(spark, str(tmp_path / "s.json")).collect()}
+    assert got == {"en-1": (["x"], "en"), "en-2": (["No answer"], "en")}
+
+
+def test_identity(spark, tmp_path):
+    path = str(tmp_path / "t")
+    readers.write_table(spark.range(3), path, {"model": "m"})
+    assert readers.read_table(spark, path, {"model": "m"}).count() == 3
+    with pytest.raises(readers.SchemaError):
+        readers.read_table(spark, path, {"model": "n"})
+
+
+def test_configs(monkeypatch):
+    monkeypatch.setenv("TALLOW_X", "7")
+    config = configs.resolve_env(configs.merge({"a": {"b": 1, "c": "${oc.env:TALLOW_X,1}"}, "d": "${oc.env:TALLOW_Y,z}"}, {"a": {"b": 2}}))
+    assert config == {"a": {"b": 2, "c": "7"}, "d": "z"}
+    assert configs.override(config, "a.b=3.5", "e=true")["a"]["b"] == 3.5 and configs.flatten(config)["a.c"] == "7"
+
+
+def test_stream_equals_batch(spark, tmp_path):
+    source = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    source.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(source.schema).parquet(str(tmp_path / "in"))
+    query = events.window_counts(stream).writeStream.format("memory").queryName("windows").outputMode("complete").trigger(availableNow=True).start()
+    query.awaitTermination()
+    key = ["start", "event_type", "n"]
+    assert sorted(map(tuple, spark.table("windows").select(key).collect())) == sorted(map(tuple, events.window_counts(source).select(key).collect()))
