@@ -175,6 +175,8 @@ flips AS (SELECT set_key, model, num.n, mask, sum(CASE WHEN (mask >> i) & 1 = 1
 perm AS (SELECT set_key, model, n, any_value(o) / n AS mean_diff, avg(CASE WHEN abs(s) >= abs(o) - 1e-9 THEN 1.0 ELSE 0.0 END) AS p FROM flips GROUP BY set_key, model, n)"""
 AP = "SELECT {g}*, sum(dirty) OVER (PARTITION BY {p} ORDER BY score DESC, pool_id ROWS UNBOUNDED PRECEDING) / row_number() OVER (PARTITION BY {p} ORDER BY score DESC, pool_id) AS p FROM lab"
 
+T_TABLE = ", ".join(f"({n}, {T.t_quantile(0.975, n - 1)!r}::DOUBLE)" for n in range(2, 201))
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -212,4 +214,5 @@ ORACLE_SQL = {
     "config_diff_full_outer": f"SELECT coalesce(a.key, b.key) AS key, a.value AS value_a, b.value AS value_b FROM ({CONFIG_A}) a FULL JOIN ({CONFIG_B}) b ON a.key = b.key WHERE a.value IS DISTINCT FROM b.value AND NOT starts_with(coalesce(a.key, b.key), 'k1')",
     "latest_run_max_by": f"SELECT method, seed, max(run) AS run, max_by(accuracy, run) AS accuracy FROM ({NEWEST}) GROUP BY method, seed",
     "oracle_gap_recovery": f"WITH {V}, m AS (SELECT model, avg(macro) FILTER (WHERE method = 'BUILDING') AS a, avg(macro) FILTER (WHERE method = 'MACHINERY') AS r, avg(macro) FILTER (WHERE method = 'FURNITURE') AS o FROM val GROUP BY model) SELECT model, round((a - r) / nullif(o - r, 0), 6) AS recovery FROM m",
+    "t_interval_cells": f"WITH {V}, c AS (SELECT set_key, method, count(macro) AS n_seeds, stddev_samp(macro) AS sd FROM val GROUP BY set_key, method) SELECT set_key, method, n_seeds, round(t * sd / sqrt(n_seeds), 6) AS half_width FROM c LEFT JOIN (VALUES {T_TABLE}) q(n, t) ON least(n_seeds, 200) = q.n",
 }

@@ -228,6 +228,32 @@ QUERIES = {
     )
 }
 
+ENDINGS = ", ".join(f"'{w}'" for w in X.DANGLING)
+
+
+def structured_sql(x: str) -> str:
+    tests = (r"^[ \t]*[-*+] ", r"^[ \t]*(?:[0-9]+|[A-Za-z]{1,4})[.)] ", r"^[ \t]*\|.*\|[ \t]*$", r"^[^:\n]{1,40}: .")
+    return "(" + " OR ".join(f"regexp_matches({x}, {sq(t)})" for t in tests) + ")"
+
+
+COMPLETE = f"""CASE WHEN regexp_replace(text, {sq(f'^{B}+|{B}+$')}, '', 'g') = '' THEN false WHEN ((length(t) - length(replace(t, '```', ''))) // 3) % 2 = 1 THEN false WHEN ends_with(t, '```') THEN true
+  WHEN len(string_split(t, chr(10))) > 1 AND {structured_sql('string_split(t, chr(10))[-1]')} THEN true WHEN regexp_matches(regexp_replace(t, {sq('["' + chr(39) + '`*_)' + chr(92) + ']}]+$')}, ''), '[.!?:;0-9]$') THEN true
+  WHEN len(w) <= 3 THEN lower(regexp_replace(coalesce(w[-1], ''), '[^A-Za-z]', '', 'g')) NOT IN ({ENDINGS}) ELSE false END"""
+NUMERIC = r"(?s)^(.*?)(-?[0-9]+(?:\.[0-9]+)?)([^0-9]*)$"
+ASSIGN = f"""{PAIR}, n AS (SELECT *, md5('42:assign:' || pool_id) AS draw, regexp_matches(output, '-?[0-9]+') AS num, count(*) OVER () AS n FROM pairs),
+w AS (SELECT *, num AND row_number() OVER (PARTITION BY num ORDER BY draw, pool_id) <= least(round_even(n * 0.1, 0), sum(CASE WHEN num THEN 1 ELSE 0 END) OVER ()) AS wrong FROM n),
+p AS (SELECT *, row_number() OVER (PARTITION BY wrong ORDER BY draw, pool_id) AS place FROM w)"""
+
+def strip_sql(x: str) -> str:
+    return f"regexp_replace({x}, {sq(f'^{B}+|{B}+$')}, '', 'g')"
+
+
+def preamble_sql(x: str) -> str:
+    for _ in range(3):
+        x = f"regexp_replace({strip_sql(x)}, {sq(r'^(?i:sure[,!.]?|certainly[,!.]?|the answer is:?|answer:|a:)[ ' + chr(92) + 'n]*')}, '')"
+    return strip_sql(x)
+
+
 _WITH_INPUT = "'Below is an instruction that describes a task, paired with an input that provides further context. Write a response that appropriately completes the request.' || chr(10) || chr(10) || '### Instruction:' || chr(10) || instruction || chr(10) || chr(10) || '### Input:' || chr(10) || substr(output, 1, 20) || chr(10) || chr(10) || '### Response:' || chr(10)"
 _WITHOUT = "'Below is an instruction that describes a task. Write a response that appropriately completes the request.' || chr(10) || chr(10) || '### Instruction:' || chr(10) || instruction || chr(10) || chr(10) || '### Response:' || chr(10)"
 
@@ -255,4 +281,10 @@ ORACLE_SQL = {
     "delta_norm": "WITH l AS (SELECT vec_id, embedding AS a, lag(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS b FROM embeddings), x AS (SELECT vec_id, unnest(range(64)) AS idx, a, b FROM l WHERE b IS NOT NULL) SELECT vec_id, round(sqrt(sum(power(cast(a[idx + 1] - b[idx + 1] AS DOUBLE), 2))), 6) AS norm FROM x GROUP BY vec_id",
     "seeded_uniform": f"SELECT doc_id, round({U.format(chr(39) + '42:u:' + chr(39) + ' || doc_id')}, 6) AS u FROM documents",
     "first_n_per_group": "SELECT source, doc_id, cast(r AS INT) AS r FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents) WHERE r <= 3",
+    "text_complete": f"WITH c AS (SELECT conv_id, turn, text, regexp_replace(text, {sq(B + '+$')}, '') AS t FROM conversations), d AS (SELECT *, {words_sql('t')} AS w FROM c) SELECT conv_id, turn, {COMPLETE} AS complete FROM d",
+    "structured_lines": f"WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) SELECT doc_id, count(*) AS lines, count(*) FILTER (WHERE {structured_sql('line')}) AS structured FROM l GROUP BY doc_id",
+    "corrupt_assign": f"WITH {ASSIGN} SELECT pool_id, CASE WHEN wrong THEN 'wrong_answer' WHEN place <= round_even(n * 0.1, 0) THEN 'mismatch' WHEN place <= 2 * round_even(n * 0.1, 0) THEN 'noisy' WHEN place <= 2 * round_even(n * 0.1, 0) + round_even(n * 0.15, 0) THEN 'truncated' ELSE 'clean' END AS type FROM p",
+    "perturb_last_number": f"WITH a AS ({ANSWERS}) SELECT id, CASE WHEN regexp_matches(answer, '-?[0-9]+') THEN regexp_extract(answer, {sq(NUMERIC)}, 1) || cast(cast(regexp_extract(answer, {sq(NUMERIC)}, 2) AS BIGINT) + 1 AS VARCHAR) || regexp_extract(answer, {sq(NUMERIC)}, 3) END AS changed FROM a",
+    "preamble_strip": f"WITH a AS ({ANSWERS}) SELECT id, {preamble_sql('answer')} AS rest, split_part(split_part(answer, ' or ', 1), '####', 1) AS cut FROM a",
+    "task_answer_extract": f"WITH a AS ({ANSWERS}), e AS (SELECT id, answer, {last_sql('answer', '(?i:answer is)[: ]*([^' + chr(10) + ']*)')} AS ex, string_split(regexp_replace(answer, {sq(B + '+$')}, ''), chr(10))[-1] AS line FROM a) SELECT id, coalesce({last_sql('ex', '([(][A-Z][)])')}, nullif(regexp_replace(ex, '[ .]+$', ''), ''), {last_sql('line', '([(][A-Z][)])')}, {last_sql('answer', '(-?[0-9]+(?:[.][0-9]+)?)')}, line) AS found FROM e",
 }
