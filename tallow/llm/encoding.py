@@ -23,7 +23,7 @@ from tallow.llm.words import slices
 VOCABULARY = "word_bpe_49k.json"
 
 #: Chunks kept per generation of the memo; two generations are alive at most.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 600_000
 #: Bytes of text whose chunks are held as Python objects at once.
 SLICE_BYTES = 2 << 20
 
