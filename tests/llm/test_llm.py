@@ -329,3 +329,11 @@ def test_random_texts_survive(spark):
     table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     assert quality.quality_rules(spark, table).count() == simhash.near_duplicates(spark, table).count() == 60
     assert packing.pack_documents(spark, table).select("doc_id").distinct().count() == language.identify(spark, table).count() == 60
+
+
+def test_lines_of_rows_that_share_an_id(spark):
+    shared = "a line that a good many of the documents have in common"
+    rows = [(1, shared), (5, f"{shared}\nmore of it"), (5, "a unique first line of another text, same id"), (None, shared), (None, "a unique line of a row that has no id at all"), (None, f"{shared}\nsecond row")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    left = Counter(line for r in lines.dedup_lines(spark, table).collect() for line in r.text.split("\n"))
+    assert left == Counter({line for _, text in rows for line in text.split("\n")})
