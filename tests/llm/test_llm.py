@@ -337,3 +337,13 @@ def test_lines_of_rows_that_share_an_id(spark):
     table = spark.createDataFrame(rows, "doc_id long, text string")
     left = Counter(line for r in lines.dedup_lines(spark, table).collect() for line in r.text.split("\n"))
     assert left == Counter({line for _, text in rows for line in text.split("\n")})
+
+
+def test_lines_that_share_word_starts_only_are_unlike(spark):
+    texts = [
+        "https://one.example.org/a/page", "https://quite-another.example.net/b/c/d", "internationalization-of-coffee", "internationalism-and-the-state-of-play",
+        "ພາສາລາວເປັນພາສາທາງການຂອງປະເທດ", "ພາສາລາວເປັກອກຂຂຄຄງງຈຈສສຊຊຍຍດດຕຕ", "abcdefgh-0123456789ABCDEF x", "abcdefgh-zyxwvutsrqponmlk y",
+    ]
+    long = "https://example.org/" + "".join(random.Random(1).choice("abcdefgh0123") for _ in range(200))
+    table = spark.createDataFrame(list(enumerate([*texts, long, "x" + long[:-3]])), "doc_id long, text string")
+    assert sorted(r.text for r in lines.dedup_lines(spark, table).collect()) == sorted([*texts, long])
