@@ -72,13 +72,19 @@ def fingerprint(text: bytes) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (signed 64 bits) of every row."""
+    """doc_id, fp (signed 64 bits), key (of the text) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fingerprint(t) for t in texts(batch.column(1))], pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fingerprint(t) for t in texts(batch.column(1))], pa.int64()), batch.column(2)], names=["doc_id", "fp", "key"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_key(docs).alias("key"))
+    return rows.mapInArrow(run, "doc_id long, fp long, key long")
+
+
+def text_key(docs: DataFrame) -> Column:
+    """What tells rows with one doc_id, or none, apart."""
+    return F.xxhash64(docs["text"].cast("string"))
 
 
 def gray_rank(code: Column) -> Column:
@@ -219,16 +225,21 @@ def link_fingerprints(codes: DataFrame, distance: int = DISTANCE, partitions: in
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """doc_id, fp, component_id of every row of ``docs``."""
+def rooted_rows(spark: SparkSession, docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """doc_id, fp, key, root, component_id of every row of ``docs``."""
     scratch = Scratch(spark, "simhash")
     fps = scratch.table(fingerprints(docs), "fingerprints")
     codes = scratch.table(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "codes")
     roots = connected_components(spark, link_fingerprints(codes, distance, shuffle_partitions(spark)), scratch)
     rooted = codes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = scratch.table(rooted.join(least, "root").select("fp", "component_id"), "classes")
-    return fps.join(classes, "fp").select("doc_id", "fp", "component_id")
+    classes = scratch.table(rooted.join(least, "root").select("fp", "root", "component_id"), "classes")
+    return fps.join(classes, "fp").select("doc_id", "fp", "key", "root", "component_id")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """doc_id, fp, component_id of every row of ``docs``."""
+    return rooted_rows(spark, docs, distance).select("doc_id", "fp", "component_id")
 
 
 def near_duplicate_digest(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -236,14 +247,18 @@ def near_duplicate_digest(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return near_duplicates(spark, docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, one of each component: that with the smallest doc_id.
+def one_of_each(spark: SparkSession, docs: DataFrame, rooted: DataFrame) -> DataFrame:
+    """The rows of ``docs``, one of each root of ``rooted`` (doc_id, key, root): that with the smallest doc_id.
 
-    Rows with a null doc_id stay only where no row of their component has one; of rows that
-    share the doc_id one stays.
+    Rows without a doc_id come last; the key of the text breaks ties, and of equal rows one stays.
     """
-    classes = near_duplicates(spark, docs)
-    kept = classes.filter("doc_id <=> component_id").select(F.col("doc_id").alias("_kept"), F.col("fp").alias("_fp")).distinct()
-    kept = Scratch(spark, "kept").table(kept.groupBy("_kept").agg(F.min("_fp").alias("_fp")), "kept")
-    joined = docs.join(kept.select("_kept"), docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
-    return joined.dropDuplicates(["doc_id"])
+    least = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("x"))
+    kept = Scratch(spark, "kept").table(least.select(F.col("x.doc_id").alias("_kept"), F.col("x.key").alias("_key")), "kept")
+    keyed = docs.withColumn("_text_key", text_key(docs))
+    joined = keyed.join(kept, keyed["doc_id"].cast("long").eqNullSafe(kept["_kept"]) & (keyed["_text_key"] == kept["_key"]), "left_semi")
+    return joined.dropDuplicates(["doc_id", "_text_key"]).drop("_text_key")
+
+
+def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, one of each component; unlike texts that share a doc_id, or have none, all stay."""
+    return one_of_each(spark, docs, rooted_rows(spark, docs))

@@ -347,3 +347,11 @@ def test_lines_that_share_word_starts_only_are_unlike(spark):
     long = "https://example.org/" + "".join(random.Random(1).choice("abcdefgh0123") for _ in range(200))
     table = spark.createDataFrame(list(enumerate([*texts, long, "x" + long[:-3]])), "doc_id long, text string")
     assert sorted(r.text for r in lines.dedup_lines(spark, table).collect()) == sorted([*texts, long])
+
+
+def test_keep_one_of_rows_that_share_an_id(spark):
+    words = [" ".join(f"w{i}x{j}" for j in range(40)) for i in range(6)]
+    rows = [(None, words[0]), (None, words[1]), (None, words[2]), (7, words[3]), (7, words[4]), (7, words[4]), (8, words[4]), (9, words[0])]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r.doc_id, r.text) for r in simhash.keep_one(spark, table).collect())
+    assert got == Counter([(9, words[0]), (None, words[1]), (None, words[2]), (7, words[3]), (7, words[4])])
