@@ -41,9 +41,10 @@ STOP_WORDS = frozenset(
     pero por que qué se ser si sin sobre son su sus también te tiene todo un una y ya yo""".split()
 )
 
-HIDDEN = "script|style|noscript|template|svg|iframe|object|textarea|select|button|head|title|math|canvas"
+#: Raw text up to the end tag.
+HIDDEN = "script|style|iframe|textarea|title"
 TOKEN = re.compile(
-    rf"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<raw>{HIDDEN})\b(?:[^>"']|"[^"]*"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^>"']|"[^"]*"|'[^']*')*+)>|<[!?/][^>]*>|[^<]+|<""",
+    rf"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<raw>{HIDDEN})\b(?:[^>"']|"[^"]*"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<drawn>svg|math)\b(?:[^>"']|"[^"]*"|'[^']*')*+(?<!/)>(?:(?!<(?P=drawn)\b).)*?</(?P=drawn)\s*>|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^>"']|"[^"]*"|'[^']*')*+)>|<[!?/][^>]*>|[^<]+|<""",
     re.S | re.I,
 )
 BLOCK = frozenset(
@@ -52,6 +53,8 @@ BLOCK = frozenset(
 CONTAINERS = BLOCK - frozenset("p hr h1 h2 h3 h4 h5 h6".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 OUT_TAGS = frozenset("nav aside footer form dialog menu search fieldset".split())
+#: Nothing in these is text; one that is left open ends at the next block-level tag.
+OUT_PARTS = frozenset("noscript template svg object select button math canvas".split())
 IN_TAGS = frozenset(["article", "main"])
 OUT_NAMES = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|sponsor\w*|promo\w*|banner\w*|cookie\w*|consent|gdpr|notice\w*|alert|popup|modal|overlay|newsletter|subscri\w*|signup|login|menu\w*|nav\w*|breadcrumb\w*|sidebar\w*|side|widget\w*|foot\w*|masthead|topbar|site-header|page-header|header|comment\w*|disqus|respond|reply|replies|discussion|share\w*|sharing|social\w*|related\w*|recommend\w*|pagination|pager|skip\w*|search\w*|toolbar|copyright|legal|disclaimer)(?:$|[\s_-])",
@@ -83,6 +86,28 @@ class Block:
         self.text, self.linked, self.zone, self.heading, self.label = text, linked, zone, heading, ""
 
 
+def closed_parts(tokens: list[re.Match]) -> dict[int, int]:
+    """Start and end of each of ``OUT_PARTS`` that is closed within the container around it."""
+    closed: dict[int, int] = {}
+    open_tags: list[tuple[str, int]] = []
+    for i, m in enumerate(tokens):
+        tag = (m["tag"] or "").lower()
+        if tag not in CONTAINERS and tag not in OUT_PARTS:
+            continue
+        if not m["end"]:
+            if m["rest"].endswith("/"):
+                continue
+            if tag in ("button", "select"):  # these do not nest
+                open_tags = [x for x in open_tags if x[0] != tag]
+            open_tags.append((tag, i))
+        elif any(t == tag for t, _ in open_tags):
+            while (last := open_tags.pop())[0] != tag:
+                pass
+            if tag in OUT_PARTS:
+                closed[last[1]] = i
+    return closed
+
+
 def blocks(html: str) -> list[Block]:
     found: list[Block] = []
     stack: list[tuple[str, str]] = [("", "")]
@@ -99,14 +124,21 @@ def blocks(html: str) -> list[Block]:
             parts.clear()
         breaks = 0
 
-    for m in TOKEN.finditer(html):
+    tokens = list(TOKEN.finditer(html))
+    closed = closed_parts(tokens) if any(m["tag"] and m["tag"].lower() in OUT_PARTS for m in tokens) else {}
+    skip, hidden = -1, False
+    for i, m in enumerate(tokens):
+        if i <= skip:
+            continue
         tag = m["tag"]
         if tag is None:
             text = m[0]
-            if m["raw"] or (text[0] == "<" and len(text) > 1 and text[1] in "!?/"):
-                if text.startswith("<![CDATA["):
+            if m["raw"] or m["drawn"] or (text[0] == "<" and len(text) > 1 and text[1] in "!?/"):
+                if text.startswith("<![CDATA[") and not hidden:
                     parts.append((text[9:].removesuffix("]]>"), link > 0))
                 continue
+            if hidden:
+                continue
             parts.append((unescape(text), link > 0))
             if not text.isspace():
                 breaks = 0
@@ -119,8 +151,12 @@ def blocks(html: str) -> list[Block]:
             parts.append((" ", False))
             if breaks > 1:
                 flush()
+        elif tag in OUT_PARTS:
+            skip = closed.get(i, -1)
+            hidden = hidden or (not m["end"] and i not in closed and not m["rest"].endswith("/"))
         elif tag in BLOCK:
             flush()
+            hidden = False
             if tag in HEADINGS:
                 heading = "" if m["end"] else tag
             if tag in CONTAINERS:

@@ -355,3 +355,13 @@ def test_keep_one_of_rows_that_share_an_id(spark):
     table = spark.createDataFrame(rows, "doc_id long, text string")
     got = Counter((r.doc_id, r.text) for r in simhash.keep_one(spark, table).collect())
     assert got == Counter([(9, words[0]), (None, words[1]), (None, words[2]), (7, words[3]), (7, words[4])])
+
+
+def test_html_elements_left_open():
+    for head in ("<head><title>x</title>", "<head><title>x</title><meta charset=utf-8><script>a</script>"):
+        assert html.main_text(f"<html>{head}<body><article><p>Real text") == html.main_text(f"<html>{head}<article><p>Real text") == "Real text"
+    for tag in ("button", "select", "object", "noscript", "template", "svg", "canvas", "math"):
+        assert html.main_text(f"<article><p>One<{tag}>no<p>Two</p><p>Three</article>") == "One\n\nTwo\n\nThree"
+        assert html.main_text(f"<article><p>One<{tag}>no<{tag}>no</{tag}><p>Two</p></article>") == "One\n\nTwo"
+        assert html.main_text(f"<article><p>One <{tag}><p>no</p><b>no</b></{tag}>two</article>") == "One two"
+    assert html.main_text("<article><p>One <svg><title/><style/></svg>two</article>") == "One two"
