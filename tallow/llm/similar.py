@@ -1,0 +1,130 @@
+"""Near duplicates by the exact Jaccard similarity of word shingles, without comparing all pairs.
+
+Texts are sets of hashed ``SHINGLE``-word shingles; those of a similarity of 0.8 or more are
+linked. A set's shingles are put into one order for all sets, the rare ones first (frequent
+ones are found in a sample; the order changes the cost, not the result). Similar sets then
+share a shingle among the first fifth of each (prefix filter), and the places of that
+shingle and the sizes bound what else they share: no similar pair fails these tests.
+
+Texts that share a prefix shingle are compared in two steps. First each with the one before
+it and with the first of the shingle's bucket, where the bounds allow; the links' components join whole groups of near
+copies. Then, in buckets that still hold several components, all pairs of different
+components that pass the bounds. So every pair of 0.8 or more ends in one component.
+
+Equal texts meet as one. A text without words is like equal ones only.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tallow.llm.common import Scratch, free_shuffles
+from tallow.llm.graph import connected_components
+from tallow.llm.simhash import one_of_each, shingle_hashes, text_key
+from tallow.llm.words import texts
+
+SHINGLE = 5
+#: Jaccard 0.8 as a fraction.
+TIMES, OF = 4, 5
+#: Texts of the sample that finds frequent shingles, and how many of them hold one at least.
+SAMPLE, FREQUENT = 8000, 3
+#: Frequent shingles that are sent out at most.
+HELD = 100_000
+#: Texts whose sets are held in one batch.
+STEP = 200
+
+
+def shingle_sets(rows: DataFrame, last: np.ndarray) -> DataFrame:
+    """key, set: the hashed shingles of each text in the common order; ``last``: frequent ones, from the rarer on."""
+    order = np.argsort(last)
+    known = last[order]
+
+    def ordered(text: bytes) -> np.ndarray:
+        found = np.unique(np.concatenate([np.zeros(0, dtype=np.uint64), *shingle_hashes(text, SHINGLE)])).view(np.int64)
+        if not len(known) or not len(found):
+            return found
+        at = np.minimum(np.searchsorted(known, found), len(known) - 1)
+        return found[np.argsort(np.where(known[at] == found, order[at], -1), kind="stable")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, STEP):
+                part = batch.slice(at, STEP)
+                sets = [ordered(t) for t in texts(part.column(1))]
+                ends = np.cumsum([0, *map(len, sets)])
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets)))
+                yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["key", "set"])
+
+    return rows.select("key", "text").mapInArrow(run, "key long, set array<long>")
+
+
+def frequent(rows: DataFrame) -> np.ndarray:
+    """Shingles that many texts of a sample hold, the rarer first."""
+    total = rows.count()
+    sample = rows.filter(F.pmod(F.xxhash64("key"), F.lit(max(1, total // SAMPLE))) == 0)
+    counts = shingle_sets(sample, np.zeros(0, dtype=np.int64)).select(F.explode("set").alias("x")).groupBy("x").agg(F.count("*").alias("n"))
+    found = counts.filter(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "x").limit(HELD).collect()
+    return np.array([r.x for r in reversed(found)], dtype=np.int64)
+
+
+def prefixes(sets: DataFrame) -> DataFrame:
+    """x, place, n, key: the shingles that a similar set must share one of."""
+    n = F.size("set")
+    # a set's similar partner shares TIMES / OF of it at least
+    rows = sets.filter(n > 0).select("key", n.alias("n"), F.posexplode(F.slice("set", F.lit(1), n - F.ceil(n * TIMES / OF - 1e-9).cast("int") + 1)).alias("place", "x"))
+    return rows.select("x", "place", "n", "key")
+
+
+def possible(na: Column, pa_: Column, nb: Column, pb: Column) -> Column:
+    """Whether sets whose first common shingle lies at these places can be similar."""
+    return (OF + TIMES) * F.least(na - pa_, nb - pb) >= TIMES * (na + nb)
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    both = pairs.join(sets.select(F.col("key").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("key").alias("b"), F.col("set").alias("sb")), "b")
+    rows = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("n"), (F.size("sa") + F.size("sb")).alias("s"))
+    return rows.filter(OF * F.col("n") >= TIMES * (F.col("s") - F.col("n"))).select("a", "b")
+
+
+def components(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """doc_id, key, root of every row of ``docs``."""
+    scratch = Scratch(spark, "similar")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_key(docs).alias("key"))
+    distinct = scratch.table(rows.select("key", "text").dropDuplicates(["key"]), "texts")
+    last = frequent(distinct)
+    window = Window.partitionBy("x").orderBy("n", "key")
+    row = F.struct("key", "n", "place")
+    held = prefixes(shingle_sets(distinct, last)).select("*", F.lag(row).over(window).alias("before"), F.lead("key").over(window).alias("after"), F.first(row).over(window).alias("head"))
+    held = scratch.table(held.filter("before IS NOT NULL OR after IS NOT NULL"), "buckets")
+    free_shuffles(spark)
+    sets = scratch.table(shingle_sets(distinct.join(held.select("key").distinct(), "key", "left_semi"), last), "sets")
+    pairs = held.filter("before IS NOT NULL").select("key", "n", "place", F.explode(F.array("before", "head")).alias("other"))
+    pairs = pairs.filter(possible(F.col("n"), F.col("place"), F.col("other.n"), F.col("other.place")))
+    pairs = scratch.table(pairs.select(F.least("key", "other.key").alias("a"), F.greatest("key", "other.key").alias("b")).distinct(), "pairs")
+    free_shuffles(spark)
+    links = scratch.table(verified(pairs, sets), "links")
+    roots = scratch.table(connected_components(spark, links, scratch), "roots")
+
+    parts = held.select("x", "place", "n", "key").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    several = parts.groupBy("x").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least < most").select("x")
+    parts = scratch.table(parts.join(several, "x", "left_semi"), "open")
+    a, b = parts.select("x", *[F.col(c).alias(f"{c}_a") for c in ("place", "n", "key", "root")]), parts.select("x", *[F.col(c).alias(f"{c}_b") for c in ("place", "n", "key", "root")])
+    both = a.filter(possible(F.col("n_a"), F.col("place_a"), F.col("n_a"), F.lit(0))).join(b, "x")
+    smaller = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("key_a") < F.col("key_b")))
+    both = both.filter(smaller & (F.col("root_a") != F.col("root_b")) & possible(F.col("n_a"), F.col("place_a"), F.col("n_b"), F.col("place_b")))
+    rest = both.select(F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+    more = scratch.table(verified(scratch.table(rest, "pairs-2"), sets), "links-2")
+    if not more.isEmpty():
+        roots = connected_components(spark, links.union(more), scratch)
+    ids = rows.select("doc_id", "key")
+    return ids.join(roots.withColumnRenamed("node", "key"), "key", "left").select("doc_id", "key", F.coalesce("root", "key").alias("root"))
+
+
+def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, one of each component of similar texts."""
+    return one_of_each(spark, docs, components(spark, docs))

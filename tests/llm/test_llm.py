@@ -365,3 +365,31 @@ def test_html_elements_left_open():
         assert html.main_text(f"<article><p>One<{tag}>no<{tag}>no</{tag}><p>Two</p></article>") == "One\n\nTwo"
         assert html.main_text(f"<article><p>One <{tag}><p>no</p><b>no</b></{tag}>two</article>") == "One two"
     assert html.main_text("<article><p>One <svg><title/><style/></svg>two</article>") == "One two"
+
+
+def test_near_dedup_equals_all_pairs(spark, docs):
+    import corpus_pipeline
+    from tallow.llm import similar
+
+    rng = random.Random(3)
+    family = [f"common{j}" for j in range(100)]
+    rows = [(-i, " ".join([*family[: rng.randrange(60, 100)], *(f"own{i}w{j}" for j in range(rng.randrange(40)))])) for i in range(1, 200)]
+    table = docs.select("doc_id", "text").union(spark.createDataFrame(rows, "doc_id long, text string"))
+    texts = [(r.doc_id, r.text) for r in table.collect()]
+    sets = [set(np.concatenate([np.zeros(0, np.uint64), *simhash.shingle_hashes((t or "").encode(), 5)]).tolist()) for _, t in texts]
+    index = defaultdict(list)
+    left, right = [], []
+    for i, s in enumerate(sets):
+        for k, n in Counter(k for g in s for k in index[g]).items():
+            if 5 * n >= 4 * (len(s) + len(sets[k]) - n):
+                left.append(k)
+                right.append(i)
+        for g in s:
+            index[g].append(i)
+    labels = simhash.unite(np.arange(len(sets)), np.array(left, dtype=int), np.array(right, dtype=int))
+    least = defaultdict(list)
+    for (d, _), c in zip(texts, labels):
+        least[c].append(d)
+    kept = corpus_pipeline.near_dedup(spark, table, SF)
+    assert kept.columns == table.columns and sorted(r.doc_id for r in kept.collect()) == sorted(map(min, least.values()))
+    assert similar.keep_one(spark, table.limit(0)).count() == 0
