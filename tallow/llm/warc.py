@@ -16,6 +16,7 @@ revisit; an empty table gives no file.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 import uuid
@@ -30,6 +31,8 @@ from tallow.llm.common import Scratch, shuffle_partitions
 from tallow.llm.files import make_folder, open_folder
 
 VERSION = b"WARC/1.1\r\n"
+#: Versions that are read; their lines have one length.
+VERSIONS = (b"WARC/1.0\r\n", VERSION)
 FILE_BYTES = 32 << 20
 REVISIT_BYTES = 1000
 SALTS = 32
@@ -71,15 +74,32 @@ class Damaged(ValueError):
     pass
 
 
+def header_end(data: memoryview, at: int) -> int:
+    """Where the header at ``at`` ends, -1 if it does not; a line that begins another record ends the search."""
+    step = 1 << 16
+    start = at
+    while start < len(data):
+        part = bytes(data[start : start + step + 3])
+        found = part.find(b"\r\n\r\n")
+        other = part.find(b"\nWARC/1.")
+        if 0 <= found and (other < 0 or found < other):
+            return start + found
+        if other >= 0:
+            return -1
+        start += step - 8  # what is searched for may lie across the cut
+    return -1
+
+
 def parse(data: memoryview, at: int) -> tuple[dict[str, str], bytes, int]:
     """(header, block, end) of the record at ``at``; ``Damaged`` if a check fails."""
-    if data[at : at + len(VERSION)] != VERSION:
+    if data[at : at + len(VERSION)] not in VERSIONS:
         raise Damaged("version line")
-    head_end = bytes(data[at : at + (1 << 16)]).find(b"\r\n\r\n")
+    head_end = header_end(data, at) - at
     if head_end < 0:
         raise Damaged("header")
     header = {}
-    for line in bytes(data[at + len(VERSION) : at + head_end]).split(b"\r\n"):
+    # WARC/1.0 may fold a value over several lines
+    for line in re.sub(rb"\r\n[ \t]+", b" ", bytes(data[at + len(VERSION) : at + head_end])).split(b"\r\n"):
         name, colon, value = line.partition(b":")
         if not colon:
             raise Damaged("header line")
@@ -92,7 +112,8 @@ def parse(data: memoryview, at: int) -> tuple[dict[str, str], bytes, int]:
         raise Damaged("record end")
     block = bytes(data[start:end])
     digest = header.get("warc-block-digest", "")
-    if digest.startswith("sha1:") and hashlib.sha1(block).hexdigest() != digest[5:]:
+    # other writers put digests in base 32
+    if digest.startswith("sha1:") and digest[5:].upper() not in ((found := hashlib.sha1(block)).hexdigest().upper(), base64.b32encode(found.digest()).decode()):
         raise Damaged("block digest")
     return header, block, end + 4
 
@@ -207,10 +228,12 @@ def read_archives(manifest: DataFrame, folder: str, partitions: int) -> DataFram
                         rows.append((None,) * 6 + found)
                         continue
                     header, block = found
-                    revisit = header["warc-type"] == "revisit"
-                    digest = header["warc-payload-digest"].removeprefix("sha1:") if revisit else hashlib.sha1(block).hexdigest()
-                    length = int(header["warc-payload-length"]) if revisit else len(block)
-                    rows.append((page_of(header["warc-record-id"]), header.get("warc-target-uri"), length, digest, header["warc-type"], page_of(header.get("warc-refers-to")), None, None, None))
+                    kind, length = header.get("warc-type"), len(block)
+                    digest = hashlib.sha1(block).hexdigest()
+                    if kind == "revisit":  # other writers' revisits may not say these
+                        digest = header["warc-payload-digest"].removeprefix("sha1:") if "warc-payload-digest" in header else None
+                        length = int(header["warc-payload-length"]) if header.get("warc-payload-length", "").isdigit() else None
+                    rows.append((page_of(header.get("warc-record-id")), header.get("warc-target-uri"), length, digest, kind, page_of(header.get("warc-refers-to")), None, None, None))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows), fields)], names=[n for n, _ in fields])
 

@@ -393,3 +393,18 @@ def test_near_dedup_equals_all_pairs(spark, docs):
     kept = corpus_pipeline.near_dedup(spark, table, SF)
     assert kept.columns == table.columns and sorted(r.doc_id for r in kept.collect()) == sorted(map(min, least.values()))
     assert similar.keep_one(spark, table.limit(0)).count() == 0
+
+
+def test_salvage_reads_foreign_and_long_headers(spark):
+    import base64
+
+    block = b"some page"
+    digest = base64.b32encode(hashlib.sha1(block).digest()).decode()
+    old = f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Target-URI: http://a/\r\n b\r\nWARC-Block-Digest: sha1:{digest}\r\nContent-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+    long = warc.record(1, "http://a/" + "x" * 200_000, block, hashlib.sha1(block).hexdigest(), None)
+    for data in (old + long + old, warc.member(old) + warc.member(long) + warc.member(old)):
+        assert [(kind, x[1]) for kind, x in warc.salvage(data)] == [("record", block)] * 3
+    damaged = old.replace(b"\r\n\r\n", b"\r\n", 1)
+    assert [kind for kind, _ in warc.salvage(damaged + long)] == ["gap", "record"]
+    pages = spark.createDataFrame([(1, "http://a/" + "x" * 70_000, "page")], "page_id long, url string, html string")
+    assert warc.round_trip(spark, pages).count() == 1
