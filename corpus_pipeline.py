@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallow.llm import decontaminate, language, lines, packing, similar
+from tallow.llm import decontaminate, language, lines, packing, simhash
 from tallow.llm.common import Scratch, read_table, release_scratch
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -28,9 +28,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component stays."""
+    """One document of each group of near duplicates (five-word shingles, Jaccard 0.8) stays."""
     release_scratch(spark)
-    return similar.keep_one(spark, docs)
+    return simhash.keep_one(spark, docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
