@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OPEN: list["Scratch"] = []
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def checkpoint_root(spark: SparkSession) -> str:
@@ -22,6 +23,17 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Spark drops the shuffle files of what is executed here as soon as it has ended."""
+    before = spark.conf.get(CLEAN_UP)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEAN_UP, before)
+
+
 class Scratch:
     """Tables written to the shared checkpoint folder to cut lineage.
 
@@ -39,7 +51,8 @@ class Scratch:
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         path = self.path(name)
-        df.write.mode("overwrite").parquet(path)
+        with shuffles_dropped(self.spark):
+            df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str = "") -> None:
@@ -66,16 +79,16 @@ def release_scratch(spark: SparkSession) -> None:
             _OPEN.remove(scratch)
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of finished phases, which nothing reads any more.
-
-    The driver's collector must see the phase's plan go before the cleaner hears of it, and
-    the cleaner works in the background: hence two rounds, and a moment after each.
-    """
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.7)
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Column names that ``df`` does not have, like the given ones."""
+    taken = {c.lower() for c in df.columns}
+    found = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        found.append(name)
+    return found
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -14,8 +14,15 @@ group costs little more than its members.
 Equal fingerprints meet as one row with their smallest doc_id. A group reports a spanning
 forest, at most one edge a member.
 
+``keep_one`` leaves one document of each group of texts whose five-word shingles have a Jaccard
+similarity of 0.8 or more. Three bits of 64 hold only the closest of such pairs (a pair of 0.8
+differs in ten bits), so the index finds the dense groups, and MinHash bands
+(``resemblance``) find the rest; every link is verified by the exact similarity.
+
 Defined cases: null and wordless text has fingerprint 0 and is linked like any other; equal
 rows are each returned; null doc_ids get the smallest doc_id they reach (null if none).
+``keep_one``: wordless texts are one group; of unlike texts that share a doc_id, or have none,
+each stays; of equal rows one; other columns pass, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,13 +35,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallow.llm.common import Scratch, shuffle_partitions
+from tallow.llm.common import Scratch, free_names, shuffle_partitions
 from tallow.llm.graph import connected_components
+from tallow.llm.resemblance import BANDS, MASK, ROWS, groups, multipliers
 from tallow.llm.words import SPACED, slices, texts
 
 DISTANCE = 3
 SHINGLE = 3
+#: Words of a shingle in ``keep_one``.
+WIDE_SHINGLE = 5
 SEED = 42
+#: Shingles whose minima are taken, and texts whose sets are held, at once.
+STEP, SETS = 1 << 13, 200
 LEAF = 16
 FANOUT = 8
 BLOCKS = (13, 13, 13, 13, 12)
@@ -61,9 +73,9 @@ def shingle_hashes(text: bytes, size: int = SHINGLE) -> Iterator[np.ndarray]:
         yield np.array([xxh64_intdigest(b" ".join(carried), SEED)], dtype=np.uint64)
 
 
-def fingerprint(text: bytes) -> int:
+def fingerprint(shingles: Iterator[np.ndarray]) -> int:
     ones, total = np.zeros(64, dtype=np.int64), 0
-    for hashes in shingle_hashes(text):
+    for hashes in shingles:
         total += len(hashes)
         for at in range(0, len(hashes), 1 << 15):
             part = hashes[at : at + (1 << 15)]
@@ -72,19 +84,19 @@ def fingerprint(text: bytes) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (signed 64 bits), key (of the text) of every row."""
+    """doc_id, fp (signed 64 bits) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fingerprint(t) for t in texts(batch.column(1))], pa.int64()), batch.column(2)], names=["doc_id", "fp", "key"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fingerprint(shingle_hashes(t)) for t in texts(batch.column(1))], pa.int64())], names=["doc_id", "fp"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_key(docs).alias("key"))
-    return rows.mapInArrow(run, "doc_id long, fp long, key long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, fp long")
 
 
 def text_key(docs: DataFrame) -> Column:
-    """What tells rows with one doc_id, or none, apart."""
-    return F.xxhash64(docs["text"].cast("string"))
+    """What tells rows with one doc_id, or none, apart; null and empty text are equal."""
+    return F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
 
 
 def gray_rank(code: Column) -> Column:
@@ -225,21 +237,16 @@ def link_fingerprints(codes: DataFrame, distance: int = DISTANCE, partitions: in
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def rooted_rows(spark: SparkSession, docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """doc_id, fp, key, root, component_id of every row of ``docs``."""
+def near_duplicates(spark: SparkSession, docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """doc_id, fp, component_id of every row of ``docs``."""
     scratch = Scratch(spark, "simhash")
     fps = scratch.table(fingerprints(docs), "fingerprints")
     codes = scratch.table(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "codes")
     roots = connected_components(spark, link_fingerprints(codes, distance, shuffle_partitions(spark)), scratch)
     rooted = codes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = scratch.table(rooted.join(least, "root").select("fp", "root", "component_id"), "classes")
-    return fps.join(classes, "fp").select("doc_id", "fp", "key", "root", "component_id")
-
-
-def near_duplicates(spark: SparkSession, docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """doc_id, fp, component_id of every row of ``docs``."""
-    return rooted_rows(spark, docs, distance).select("doc_id", "fp", "component_id")
+    classes = scratch.table(rooted.join(least, "root").select("fp", "component_id"), "classes")
+    return fps.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
 def near_duplicate_digest(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -247,18 +254,86 @@ def near_duplicate_digest(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return near_duplicates(spark, docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(spark: SparkSession, docs: DataFrame, rooted: DataFrame) -> DataFrame:
-    """The rows of ``docs``, one of each root of ``rooted`` (doc_id, key, root): that with the smallest doc_id.
+def shingle_set(text: bytes) -> np.ndarray:
+    """The distinct hashes of a text's five-word shingles."""
+    return np.unique(np.concatenate([np.zeros(0, dtype=np.uint64), *shingle_hashes(text, WIDE_SHINGLE)]))
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """The keys of the bands of minima of a set; none of an empty one."""
+    if not len(hashes):
+        return np.zeros(0, dtype=np.int64)
+    factors = np.array(multipliers(), dtype=np.uint64)
+    x = hashes >> np.uint64(33)
+    least = np.min([((x[at : at + STEP, None] * factors) & np.uint64(MASK)).min(axis=0) for at in range(0, len(x), STEP)], axis=0).reshape(BANDS, ROWS)
+    keys = np.arange(BANDS, dtype=np.uint64)
+    for column in least.T:
+        keys = (keys ^ column) * np.uint64(0x9E3779B97F4A7C15)
+        keys ^= keys >> np.uint64(29)
+    return keys.view(np.int64)
+
+
+def lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, arrays)]), pa.int32()), pa.array(np.concatenate(arrays).view(np.int64)))
+
+
+def signed_texts(rows: DataFrame) -> DataFrame:
+    """doc_id, key, fp, keys of rows doc_id, key, text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps, keys = [], []
+            for text in texts(batch.column(2)):
+                parts = list(shingle_hashes(text, WIDE_SHINGLE))
+                fps.append(fingerprint(iter(parts)))
+                keys.append(band_keys(np.unique(np.concatenate([np.zeros(0, dtype=np.uint64), *parts]))))
+            if fps:
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.int64()), lists(keys)], names=["doc_id", "key", "fp", "keys"])
+
+    return rows.mapInArrow(run, "doc_id long, key long, fp long, keys array<long>")
+
+
+def shingle_sets(rows: DataFrame) -> DataFrame:
+    """h, side (distinct hashes) of rows key, text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, SETS):
+                part = batch.slice(at, SETS)
+                yield pa.RecordBatch.from_arrays([part.column(0), lists([shingle_set(t) for t in texts(part.column(1))])], names=["h", "side"])
+
+    return rows.mapInArrow(run, "h long, side array<long>")
+
+
+def resembling_rows(spark: SparkSession, docs: DataFrame, exhaustive: bool = False) -> DataFrame:
+    """doc_id, key, root of every row of ``docs``: root names its group of similar texts."""
+    scratch = Scratch(spark, "resembling")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(docs).alias("key"), F.col("text").cast("string").alias("text"))
+    placed = scratch.table(signed_texts(rows), "placed")
+    signed = scratch.table(placed.groupBy(F.col("key").alias("h")).agg(F.first("fp").alias("fp"), F.first("keys").alias("keys")), "signed")
+    codes = scratch.table(signed.groupBy("fp").agg(F.min("h").alias("least")), "codes")
+    same = signed.join(codes, "fp").select(F.col("h").alias("a"), F.col("least").alias("b"))
+    near = link_fingerprints(codes, DISTANCE, shuffle_partitions(spark))
+    for c in ("a", "b"):
+        near = near.withColumnRenamed(c, "fp").join(codes, "fp").drop("fp").withColumnRenamed("least", c)
+
+    def sides_of(wanted: DataFrame) -> DataFrame:
+        return shingle_sets(rows.select("key", "text").dropDuplicates(["key"]).join(wanted, F.col("key") == F.col("h")).select("key", "text"))
+
+    roots = groups(spark, signed.select("h", "keys"), sides_of, lambda side: side, scratch, same.union(near.select("a", "b")), exhaustive)
+    placed = placed.select("doc_id", "key").join(roots.withColumnRenamed("node", "key"), "key", "left")
+    return placed.select("doc_id", "key", F.coalesce("root", "key").alias("root"))
+
+
+def keep_one(spark: SparkSession, docs: DataFrame, exhaustive: bool = False) -> DataFrame:
+    """The rows of ``docs``, one of each group of similar texts: that with the smallest doc_id.
 
     Rows without a doc_id come last; the key of the text breaks ties, and of equal rows one stays.
     """
+    rooted = resembling_rows(spark, docs, exhaustive)
+    kept, key, text = free_names(docs, "kept", "key", "text_key")
     least = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("x"))
-    kept = Scratch(spark, "kept").table(least.select(F.col("x.doc_id").alias("_kept"), F.col("x.key").alias("_key")), "kept")
-    keyed = docs.withColumn("_text_key", text_key(docs))
-    joined = keyed.join(kept, keyed["doc_id"].cast("long").eqNullSafe(kept["_kept"]) & (keyed["_text_key"] == kept["_key"]), "left_semi")
-    return joined.dropDuplicates(["doc_id", "_text_key"]).drop("_text_key")
-
-
-def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, one of each component; unlike texts that share a doc_id, or have none, all stay."""
-    return one_of_each(spark, docs, rooted_rows(spark, docs))
+    chosen = Scratch(spark, "kept").table(least.select(F.col("x.doc_id").alias(kept), F.col("x.key").alias(key)), "kept")
+    keyed = docs.withColumn(text, text_key(docs))
+    joined = keyed.join(chosen, keyed["doc_id"].cast("long").eqNullSafe(chosen[kept]) & (keyed[text] == chosen[key]), "left_semi")
+    return joined.dropDuplicates(["doc_id", text]).drop(text)
