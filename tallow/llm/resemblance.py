@@ -2,7 +2,7 @@
 
 Items are sets of hashes; those of a Jaccard similarity of ``TIMES / OF`` (0.8) or more are
 linked, and components of links are the groups. ``BANDS`` bands of ``ROWS`` minima put a pair
-of similarity 0.8 into a common bucket with probability 0.9994 (1 - (1 - 0.8 ** 4) ** 14).
+of similarity 0.8 into a common bucket with probability 0.999 (1 - (1 - 0.8 ** 3) ** 10).
 
 In a bucket an item meets two others only, so that n items cost 2n comparisons, not n
 squared: the first item of the bucket and the one before it. Pairs are verified by the exact
@@ -29,12 +29,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallow.llm.common import Scratch, let
+from tallow.llm.common import Scratch
 from tallow.llm.graph import connected_components
 
 #: Jaccard 0.8 as a fraction.
 TIMES, OF = 4, 5
-BANDS, ROWS = 14, 4
+BANDS, ROWS = 10, 3
 #: Minima are taken of multiples of a 31-bit hash, modulo 2 ** 46.
 MASK = (1 << 46) - 1
 HOT_SAMPLE, HOT_SEEN, HOT_LEAST = 200_000, 32, 256
@@ -60,9 +60,9 @@ def minima(x: Column) -> list[Column]:
     return [F.min((x * F.lit(a)).bitwiseAND(F.lit(MASK))).alias(f"m{i}") for i, a in enumerate(multipliers())]
 
 
-def band_keys() -> Column:
-    """The bands' keys of a row of minima."""
-    return F.array(*[F.xxhash64(F.lit(i), *[F.col(f"m{ROWS * i + j}") for j in range(ROWS)]) for i in range(BANDS)])
+def band_keys(kind: Column) -> Column:
+    """The bands' keys of a row of minima; those of unlike kinds never meet."""
+    return F.array(*[F.xxhash64(kind, F.lit(i), *[F.col(f"m{ROWS * i + j}") for j in range(ROWS)]) for i in range(BANDS)])
 
 
 def hot_keys(signed: DataFrame) -> list[int]:
@@ -92,15 +92,17 @@ def ordered(one: str, other: str) -> list[Column]:
     return [F.least(one, other).alias("a"), F.greatest(one, other).alias("b")]
 
 
-def verified(pairs: DataFrame, sides: DataFrame, to_set: Callable[[Column], Column]) -> DataFrame:
-    """a, b of the pairs that are similar enough; ``sides`` (h, side) holds what ``to_set`` makes a set of."""
-    left, right = sides.select(F.col("h").alias("a"), F.col("side").alias("sa")), sides.select(F.col("h").alias("b"), F.col("side").alias("sb"))
+def verified(pairs: DataFrame, sides: DataFrame, to_hashes: Callable[[Column], Column]) -> DataFrame:
+    """a, b, linked of the pairs whose sizes allow a link.
 
-    def similar(x: Column) -> Column:
-        return let(F.struct(F.size(F.array_intersect(x["a"], x["b"])).alias("n"), (F.size(x["a"]) + F.size(x["b"])).alias("s")), lambda y: (y["n"] > 0) & (OF * y["n"] >= TIMES * (y["s"] - y["n"])))
-
-    both = pairs.join(left, "a").join(right, "b")
-    return both.filter((F.col("sa") == F.col("sb")) | let(F.struct(to_set(F.col("sa")).alias("a"), to_set(F.col("sb")).alias("b")), similar)).select("a", "b")
+    ``sides`` (h, side, n) holds what ``to_hashes`` makes the hashes of a set of ``n`` of. A
+    column a step, so that each is evaluated once; filter the written result.
+    """
+    left, right = (sides.select(F.col("h").alias(x), F.col("side").alias(f"side_{x}"), F.col("n").alias(f"n_{x}")) for x in "ab")
+    both = pairs.join(left, "a").join(right, "b").filter(OF * F.least("n_a", "n_b") >= TIMES * F.greatest("n_a", "n_b"))
+    both = both.select("a", "b", (F.col("n_a") + F.col("n_b")).alias("sizes"), to_hashes(F.col("side_a")).alias("side_a"), to_hashes(F.col("side_b")).alias("side_b"))
+    met = both.select("a", "b", "sizes", F.size(F.array_intersect("side_a", "side_b")).alias("n"))
+    return met.select("a", "b", (OF * F.col("n") >= TIMES * (F.col("sizes") - F.col("n"))).alias("linked"))
 
 
 def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
@@ -148,9 +150,9 @@ def prefixes(items: DataFrame, often: DataFrame) -> DataFrame:
     return rows.select(F.col("s.x").alias("x"), "n", "h", "root")
 
 
-def open_pairs(held: DataFrame, sides: DataFrame, to_set: Callable[[Column], Column], scratch: Scratch) -> DataFrame:
+def open_pairs(held: DataFrame, sides: DataFrame, to_hashes: Callable[[Column], Column], scratch: Scratch) -> DataFrame:
     """a, b of different components, of the items whose buckets hold several, that share enough rare hashes."""
-    items = scratch.table(held.select("h", "root").distinct().join(sides, "h").select("h", "root", to_set(F.col("side")).alias("set")), "items")
+    items = scratch.table(held.select("h", "root").distinct().join(sides, "h").select("h", "root", F.array_distinct(to_hashes(F.col("side"))).alias("set")), "items")
     posted = scratch.table(prefixes(items, scratch.table(frequent(items), "frequent")), "prefixes")
     mixed = posted.groupBy("x").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least < most").select("x")
     posted = scratch.table(posted.join(mixed, "x", "left_semi"), "mixed")
@@ -165,14 +167,14 @@ def groups(
     spark: SparkSession,
     signed: DataFrame,
     sides_of: Callable[[DataFrame], DataFrame],
-    to_set: Callable[[Column], Column],
+    to_hashes: Callable[[Column], Column],
     scratch: Scratch,
     known: DataFrame | None = None,
     exhaustive: bool = False,
 ) -> DataFrame:
     """node, root of every item that is linked to another; root is the least item of the group.
 
-    ``signed``: a written table h, keys. ``sides_of`` gives (h, side) for a table of wanted h.
+    ``signed``: a written table h, keys. ``sides_of`` gives (h, side, n) for a table of wanted h.
     ``known``: pairs a, b from elsewhere that are verified first.
     """
     rows = scratch.table(shared_buckets(spark, signed), "buckets")
@@ -191,7 +193,7 @@ def groups(
         if tried is not None:
             pairs = apart(pairs, roots).join(tried, ["a", "b"], "left_anti")
         pairs = scratch.table(pairs, f"pairs-{name}")
-        found = scratch.table(verified(pairs, sides, to_set), f"links-{name}")
+        found = scratch.table(verified(pairs, sides, to_hashes), f"links-{name}").filter("linked").select("a", "b")
         tried = pairs if tried is None else tried.union(pairs)
         if roots is not None and found.isEmpty():
             return False
@@ -206,5 +208,5 @@ def groups(
     meet(centres(held), "centres")
     if exhaustive:
         held = scratch.table(still_open(rows, roots), "open")
-        meet(open_pairs(held, sides, to_set, scratch), "all")
+        meet(open_pairs(held, sides, to_hashes, scratch), "all")
     return roots

@@ -294,7 +294,7 @@ def signed_texts(rows: DataFrame) -> DataFrame:
 
 
 def shingle_sets(rows: DataFrame) -> DataFrame:
-    """h, side (distinct hashes) of rows key, text."""
+    """h, side (distinct hashes), n of rows key, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -302,7 +302,7 @@ def shingle_sets(rows: DataFrame) -> DataFrame:
                 part = batch.slice(at, SETS)
                 yield pa.RecordBatch.from_arrays([part.column(0), lists([shingle_set(t) for t in texts(part.column(1))])], names=["h", "side"])
 
-    return rows.mapInArrow(run, "h long, side array<long>")
+    return rows.mapInArrow(run, "h long, side array<long>").select("h", "side", F.size("side").alias("n"))
 
 
 def resembling_rows(spark: SparkSession, docs: DataFrame, exhaustive: bool = False) -> DataFrame:
