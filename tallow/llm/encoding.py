@@ -9,7 +9,8 @@ Two more rules make chunks repeat sooner. The normaliser lower-cases, so A-Z are
 before chunks are looked up; a text with combining marks (U+0300 to U+037F) is left as it
 is, since composition comes before lower-casing and not every pair composes in both cases.
 The pre-tokeniser parts a letter from a full stop or comma, so such an ending is looked up
-for itself.
+for itself. The library takes added tokens (``<|endoftext|>``) out of the text as it stands,
+before it is lower-cased: a text that has one in any case is left as it is, too.
 """
 
 from __future__ import annotations
@@ -38,10 +39,11 @@ LOWER = bytes(b + 32 if 65 <= b <= 90 else 32 if b == 10 else b for b in range(2
 BREAKS = bytes(32 if b == 10 else b for b in range(256))
 
 
-def chunked(text: str) -> bytes:
-    """UTF-8 of a text whose chunks are parted by spaces."""
+def chunked(text: str, added: tuple[bytes, ...] = ()) -> bytes:
+    """UTF-8 of a text whose chunks are parted by spaces; ``added``: added tokens in lower case."""
     data = text.encode("utf-8", "replace")
-    return data.translate(BREAKS if b"\xcc" in data or b"\xcd" in data else LOWER)
+    lowered = data.translate(LOWER)
+    return data.translate(BREAKS) if b"\xcc" in data or b"\xcd" in data or any(x in lowered for x in added) else lowered
 
 
 class Encoder:
@@ -52,7 +54,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = tuple(x.content.encode().translate(LOWER) for x in self.tokenizer.get_added_tokens_decoder().values())
         self.memo_words = memo_words
         self.young: dict[bytes, bytes] = {b"": b""}
         self.old: dict[bytes, bytes] = {}
@@ -96,7 +98,7 @@ class Encoder:
         group: list[list[bytes]] = []
         held = 0
         for text in texts:
-            data = chunked(text or "")
+            data = chunked(text or "", self.added)
             if len(data) > SLICE_BYTES:
                 yield from self._flush(group)
                 group, held = [], 0
