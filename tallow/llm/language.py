@@ -29,6 +29,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallow.llm.common import free_names
+
 UND = "und"
 DIMENSIONS = 1 << 14
 CLUSTERS = 4
@@ -48,7 +50,7 @@ def letters() -> np.ndarray:
     global _LETTERS
     if _LETTERS is None:
         table = np.zeros(0x110000, dtype=np.uint32)
-        for code in range(0x30000):
+        for code in range(len(table)):
             c = chr(code)
             if c.isalpha():
                 low = c.lower()
@@ -180,11 +182,10 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, clusters: int = CLUSTERS, dim
     return Model(list(by_lang), idf, stacked, np.array(owner, dtype=np.int64), least)
 
 
-PREDICTED = T.StructType([T.StructField("_lang", T.StringType()), T.StructField("_score", T.DoubleType()), T.StructField("_rejected", T.BooleanType())])
-
-
-def predict(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with _lang, _score and _rejected."""
+def predict(spark: SparkSession, docs: DataFrame, model: Model) -> tuple[DataFrame, list[str]]:
+    """``docs`` with language, score and whether it is rejected, and the names of these columns."""
+    text, *names = free_names(docs, "_text", "_lang", "_score", "_rejected")
+    predicted = [T.StructField(n, t) for n, t in zip(names, (T.StringType(), T.DoubleType(), T.BooleanType()))]
     shared = spark.sparkContext.broadcast(model)  # dimensions x centroids, whatever the corpus
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,9 +194,10 @@ def predict(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
                 part = batch.slice(at, 2000)
                 found = [shared.value.predict(t) for t in part.column(0).to_pylist()]
                 columns = [pa.array(c, t) for c, t in zip(zip(*found), (pa.string(), pa.float64(), pa.bool_()))]
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], *columns], names=[*part.schema.names[1:], *PREDICTED.names])
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], *columns], names=[*part.schema.names[1:], *names])
 
-    return docs.select(F.col("text").cast("string").alias("_text"), "*").mapInArrow(run, T.StructType([*docs.schema.fields, *PREDICTED.fields]))
+    rows = docs.select(F.col("text").cast("string").alias(text), "*").mapInArrow(run, T.StructType([*docs.schema.fields, *predicted]))
+    return rows, names
 
 
 def held_out(doc_id: Column) -> Column:
@@ -209,10 +211,11 @@ def fit_documents(docs: DataFrame) -> Model:
 
 def identify(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score, rejected of every row of ``docs``."""
-    rows = predict(spark, docs.select("doc_id", "text"), fit_documents(docs))
-    return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"), F.col("_rejected").alias("rejected"))
+    rows, (lang, score, rejected) = predict(spark, docs.select("doc_id", "text"), fit_documents(docs))
+    return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col(lang).alias("lang_pred"), F.col(score).alias("score"), F.col(rejected).alias("rejected"))
 
 
 def keep_identified(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are not rejected."""
-    return predict(spark, docs, fit_documents(docs)).filter("NOT _rejected").drop(*PREDICTED.names)
+    rows, names = predict(spark, docs, fit_documents(docs))
+    return rows.filter(~F.col(names[-1])).drop(*names)
