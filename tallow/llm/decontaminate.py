@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallow.llm.common import Scratch
+from tallow.llm.common import Scratch, free_names
 from tallow.llm.files import make_folder, open_folder
 from tallow.llm.words import ALNUM, slices, texts
 
@@ -131,7 +131,7 @@ class Block:
 
 
 def write_blocks(spark: SparkSession, benchmark: DataFrame, folder: str, window: int) -> list[str]:
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("id"), F.col("text").cast("string").alias("text")).filter("text IS NOT NULL")
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("id"), F.col("text").cast("string").alias("text")).filter("text IS NOT NULL").distinct()
     n, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     blocks = max(1, -(-n // BLOCK_ITEMS), -(-size // BLOCK_BYTES))
     dealt = items.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)))
@@ -201,11 +201,10 @@ def covered(spans: list[tuple[np.ndarray, np.ndarray]]) -> int:
     return int(np.maximum(reach - begins, 0).sum())
 
 
-MARKS = T.StructType([T.StructField("_n_words", T.LongType()), T.StructField("_n_hit", T.LongType()), T.StructField("_items", T.ArrayType(T.StringType()))])
-
-
-def mark(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``docs`` with _n_words, _n_hit and _items (ids of the items with occurring windows, sorted)."""
+def mark(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> tuple[DataFrame, list[str]]:
+    """``docs`` with words, hit words and items (sorted ids of those with occurring windows), and the names of these columns."""
+    text, *added = free_names(docs, "_text", "_n_words", "_n_hit", "_items")
+    fields = [T.StructField(n, t) for n, t in zip(added, (T.LongType(), T.LongType(), T.ArrayType(T.StringType())))]
     folder = Scratch(spark, "benchmark").path("blocks")
     names = write_blocks(spark, benchmark, folder, window)
 
@@ -215,25 +214,26 @@ def mark(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int
                 part = batch.slice(at, 2000)
                 n_words, n_hit, items = verdicts(list(texts(part.column(0))), folder, names)
                 marks = [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], *marks], names=[*part.schema.names[1:], *MARKS.names])
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], *marks], names=[*part.schema.names[1:], *added])
 
-    read = docs.select(F.col("text").cast("string").alias("_text"), "*")
-    return read.mapInArrow(run, T.StructType([*docs.schema.fields, *MARKS.fields]))
+    read = docs.select(F.col("text").cast("string").alias(text), "*")
+    return read.mapInArrow(run, T.StructType([*docs.schema.fields, *fields])), added
 
 
 def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every row of ``docs``."""
-    marked = mark(spark, docs.select("doc_id", "text"), benchmark, window)
+    marked, (n_words, n_hit, items) = mark(spark, docs.select("doc_id", "text"), benchmark, window)
     return marked.select(
         "doc_id",
-        F.col("_n_words").alias("n_words"),
-        F.col("_n_hit").alias("n_hit"),
-        F.size("_items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("_items", ","), 256).alias("items_sha256"),
-        (F.col("_n_hit") > 0).alias("contaminated"),
+        F.col(n_words).alias("n_words"),
+        F.col(n_hit).alias("n_hit"),
+        F.size(items).cast("long").alias("n_items"),
+        F.sha2(F.array_join(items, ","), 256).alias("items_sha256"),
+        (F.col(n_hit) > 0).alias("contaminated"),
     )
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of ``docs`` in which no window of the benchmark occurs."""
-    return mark(spark, docs, benchmark, window).filter("_n_hit = 0").drop(*MARKS.names)
+    marked, names = mark(spark, docs, benchmark, window)
+    return marked.filter(F.col(names[1]) == 0).drop(*names)
