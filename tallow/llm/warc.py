@@ -205,7 +205,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     return pages.select("page_id", "url", "html", "digest", "refers_to").mapInArrow(write, "file string, records long")
 
 
-READ = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, gap_start long, gap_end long, reason string"
+READ = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, gap_start long, gap_end long, reason string, file string"
 
 
 def read_archives(manifest: DataFrame, folder: str, partitions: int) -> DataFrame:
@@ -225,7 +225,7 @@ def read_archives(manifest: DataFrame, folder: str, partitions: int) -> DataFram
                 rows = []
                 for kind, found in salvage(data):
                     if kind == "gap":
-                        rows.append((None,) * 6 + found)
+                        rows.append((None,) * 6 + found + (name,))
                         continue
                     header, block = found
                     kind, length = header.get("warc-type"), len(block)
@@ -233,18 +233,23 @@ def read_archives(manifest: DataFrame, folder: str, partitions: int) -> DataFram
                     if kind == "revisit":  # other writers' revisits may not say these
                         digest = header["warc-payload-digest"].removeprefix("sha1:") if "warc-payload-digest" in header else None
                         length = int(header["warc-payload-length"]) if header.get("warc-payload-length", "").isdigit() else None
-                    rows.append((page_of(header.get("warc-record-id")), header.get("warc-target-uri"), length, digest, kind, page_of(header.get("warc-refers-to")), None, None, None))
+                    rows.append((page_of(header.get("warc-record-id")), header.get("warc-target-uri"), length, digest, kind, page_of(header.get("warc-refers-to")), None, None, None, name))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows), fields)], names=[n for n, _ in fields])
 
     return manifest.select("file").repartition(partitions, "file").mapInArrow(read, READ)
 
 
-def round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
-    """Writes a record for each page and reads the archives back; checks that no gap was met."""
+def round_trip(spark: SparkSession, pages: DataFrame, quarantine: str | None = None) -> DataFrame:
+    """Writes a record for each page and reads the archives back.
+
+    Byte gaps that the reader had to leave out are written to ``quarantine`` (a Parquet folder;
+    one beside the archives if none is given); the records that were recovered are returned.
+    """
     scratch = Scratch(spark, "warc")
     folder = make_folder(scratch.path("archives"))
     manifest = scratch.table(write_archives(with_references(pages), folder), "manifest")
-    back = read_archives(manifest, folder, shuffle_partitions(spark))
-    whole = F.when(F.col("gap_start").isNotNull(), F.raise_error(F.concat(F.lit("damaged archive: "), F.col("reason")))).otherwise(F.col("page_id"))
-    return back.select(whole.cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+    back = scratch.table(read_archives(manifest, folder, shuffle_partitions(spark)), "records")
+    gaps = back.filter("gap_start IS NOT NULL").select("file", "gap_start", "gap_end", "reason")
+    gaps.write.mode("overwrite").parquet(quarantine or scratch.path("quarantine"))
+    return back.filter("gap_start IS NULL").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
