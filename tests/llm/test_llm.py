@@ -44,10 +44,12 @@ def bench(spark):
 
 
 def test_encoder_equals_the_library():
-    e = Encoder(default_vocabulary(), memo_words=40)
-    odd = ["Áb J̌. x", "don't STOP... it's, OK's. \x1c a\x1cb c", "", "ΣΑΣ, İx. <|endoftext|>", "a,b.c .,. ,", "1. 2, a1. ²", LONG * 6, "x" * 5000]
+    from tokenizers import Tokenizer
+
+    e, plain = Encoder(default_vocabulary(), memo_words=40), Tokenizer.from_file(default_vocabulary())
+    odd = ["Áb J̌. x", "don't STOP... it's, OK's. \x1c a\x1cb c", "", "ΣΑΣ, İx. <|endoftext|>", "a,b.c .,. ,", "1. 2, a1. ²", LONG * 6, "x" * 5000, "hello <|endoftext|> World", "A<|endoftext|>B.<|startoftext|>", "<|ENDOFTEXT|> É a", "<|endof text|>"]
     for text, ids in zip(odd, e.encode_all(odd)):
-        assert np.frombuffer(ids, "<u4").tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(ids, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
 
 
 def test_packing(spark, odd, empty, docs):
@@ -286,8 +288,9 @@ def test_language(spark, docs, odd, empty):
     got = language.identify(spark, docs).join(docs.select("doc_id", "lang"), "doc_id").toPandas()
     assert (got[got.held_out].lang == got[got.held_out].lang_pred).mean() > 0.97 and got.score.between(0, 1).all() and got.rejected.mean() < 0.02
     model = language.fit_documents(docs)
-    rows = {r.doc_id: r for r in language.predict(spark, odd, model).collect()}
-    assert rows[1]._lang == rows[2]._lang == rows[7]._lang == "und" and rows[7]._rejected and len(rows) == 10
+    predicted, names = language.predict(spark, odd, model)
+    rows = {r.doc_id: r for r in predicted.collect()}
+    assert rows[1]._lang == rows[2]._lang == rows[7]._lang == "und" and rows[7]._rejected and len(rows) == 10 and names == ["_lang", "_score", "_rejected"]
     assert language.identify(spark, empty).count() == 0
     assert all(r.lang_pred == "und" for r in language.identify(spark, odd.withColumn("lang", F.lit(None).cast("string"))).collect())
     whole, parts = language.counts(LONG), language.SLICE
@@ -409,3 +412,36 @@ def test_salvage_reads_foreign_and_long_headers(spark):
     assert [kind for kind, _ in warc.salvage(damaged + long)] == ["gap", "record"]
     pages = spark.createDataFrame([(1, "http://a/" + "x" * 70_000, "page")], "page_id long, url string, html string")
     assert warc.round_trip(spark, pages).count() == 1
+
+
+def test_letters_of_all_planes():
+    assert language.counts(chr(0x30010) * 5) is not None and language.counts("12 \U0001F600") is None
+
+
+def test_columns_of_any_name_pass(spark, bench):
+    own = "a sentence of this document that is long enough to be told by its language and by nothing else"
+    rows = spark.createDataFrame([(i, f"{own} {i}\n{own}", "en") for i in range(6)], "doc_id long, text string, lang string")
+    names = ["_text", "_lang", "_score", "_rejected", "_items", "_n_hit", "_n_words", "_gone", "_left", "gone", "left", "doc", "row", "h", "kept", "key", "text_key", "root", "node", "a", "b"]
+    rows = rows.withColumns({n: F.col("doc_id").cast("string") for n in names})
+    for kept in (language.keep_identified(spark, rows), lines.dedup_lines(spark, rows), simhash.keep_one(spark, rows), decontaminate.decontaminate(spark, rows, bench)):
+        assert kept.columns == rows.columns and all(r[n] == str(r.doc_id) for r in kept.collect() for n in names)
+    assert packing.pack_documents(spark, rows).count() == sharding.shard_documents(spark, rows).count() == token_files.write_and_read(spark, rows).count() == 6
+    assert quality.quality_rules(spark, rows, host="lang").count() == 6
+
+
+def test_quality_of_repeated_rows(spark):
+    body, footer = " ".join(f"own{i}" for i in range(60)), " ".join(f"plate{i}" for i in range(25))
+    rows = [(i, " ".join(f"x{i}y{j}" for j in range(60)) + f"\n{footer}", "h") for i in range(30)]
+    rows += [(100, f"{body}\n{footer}", "h")] * 3 + [(None, f"{body} {i}\n{footer}", "h") for i in range(3)]
+    got = quality.quality_rules(spark, spark.createDataFrame(rows, "doc_id long, text string, source string")).toPandas()
+    assert len(got) == len(rows) and got.kept.all() and set(got.removed_words) == {25}
+
+
+def test_gaps_are_logged_and_the_rest_is_returned(spark, tmp_path, monkeypatch):
+    whole = warc.member
+    monkeypatch.setattr(warc, "member", lambda data: b"damage" + whole(data))
+    pages = spark.createDataFrame([(i, "u", f"page {i}") for i in range(5)], "page_id long, url string, html string").coalesce(1)
+    folder = warc.make_folder("file://" + str(tmp_path / "archives"))
+    manifest = warc.write_archives(warc.with_references(pages), folder)
+    back = warc.read_archives(manifest, folder, 1).collect()
+    assert sorted(r.page_id for r in back if r.page_id is not None) == list(range(5)) and sum(r.gap_end - r.gap_start for r in back if r.reason) == 30
