@@ -31,30 +31,40 @@ def normalised(x: Column) -> Column:
 
 
 def is_structured_line(x: Column) -> Column:
-    """A bullet, a short numbered item, a table row or a short ``key: value``."""
-    return x.rlike(r"^[ \t]*[-*+] ") | x.rlike(r"^[ \t]*(?:[0-9]+|[A-Za-z]{1,4})[.)] ") | x.rlike(r"^[ \t]*\|.*\|[ \t]*$") | x.rlike(r"^[^:\n]{1,40}: .")
+    """A table row, a bullet, a short numbered item, or a short ``key: value``, with content."""
+    s = strip(x)
+    return s.rlike(r"^\|.*\|$") | s.rlike(r"^[-*+•–—] ") | s.rlike(r"^(?:[0-9]+|\p{L}{1,4})[.)] ") | s.rlike(r"^[^:]{1,40}:.")
 
 
-#: Words a finished sentence does not end with.
-DANGLING = ("a", "an", "the", "and", "or", "but", "of", "to", "in", "on", "for", "with", "at", "by", "from", "as", "that", "which", "is", "are", "was", "were", "be")
+# Function words that a finished sentence does not end with, the characters that may
+# close a sentence after its end, and the ends themselves.
+DANGLING = tuple(
+    """a an the and or but nor for so yet of in on at to from by with without into onto upon about as if then than that
+    which who whom whose is are was were be been being am do does did have has had will would shall should can could may
+    might must""".split()
+)
+WRAPPERS = r"\"')\]}*_` \t"
+ENDS = ".!?。！？…"
+SHORT_WORDS = 3
 
 
 def is_complete(text: Column) -> Column:
-    """Whether a response looks finished: closed fences and a terminal last character, structured
-    last line of several, or at most three words that do not dangle."""
+    """Whether a response looks finished: closed fences, a structured last line of several, an end
+    or digit last (after wrappers), or at most three words of which the last does not dangle."""
     t = F.regexp_replace(text, rf"{BLANK}+$", "")
-    last = F.element_at(F.split(t, "\n"), -1)
-    bare = F.regexp_replace(t, r"[\"'`*_)\]}]+$", "")
+    lines = F.filter(F.split(t, r"\r\n|[\n\r\f\x0b]"), lambda x: strip(x) != "")
+    bare = F.regexp_replace(t, f"[{WRAPPERS}]+$", "")
     few = words(t)
-    ends = F.lower(F.regexp_replace(F.coalesce(F.try_element_at(few, F.lit(-1)), F.lit("")), r"[^A-Za-z]", ""))
+    ends = F.lower(F.regexp_replace(F.coalesce(F.try_element_at(few, F.lit(-1)), F.lit("")), f"^[{WRAPPERS},;:]+|[{WRAPPERS},;:]+$", ""))
     return (
-        F.when(strip(text) == "", False)
+        F.when(t == "", False)
         .when(F.regexp_count(t, F.lit("```")) % 2 == 1, False)
         .when(t.endswith("```"), True)
-        .when((F.size(F.split(t, "\n")) > 1) & is_structured_line(last), True)
-        .when(bare.rlike(r"[.!?:;0-9]$"), True)
-        .when(F.size(few) <= 3, ~ends.isin(*DANGLING))
-        .otherwise(False)
+        .when((F.size(lines) > 1) & is_structured_line(F.try_element_at(lines, F.lit(-1))), True)
+        .when(bare == "", False)
+        .when(bare.rlike(rf"[{ENDS}0-9]$"), True)
+        .when(F.size(few) > SHORT_WORDS, False)
+        .otherwise(~ends.isin(*DANGLING))
     )
 
 
@@ -63,13 +73,13 @@ def last_match(x: Column, pattern: str, group: int = 1) -> Column:
 
 
 def predicted_number(x: Column) -> Column:
-    """The last 'the answer is X', else what follows the last ####, else the last number, else ''."""
-    num = r"(-?[0-9][0-9,]*(?:\.[0-9]+)?)"
-    return F.coalesce(last_match(x, r"(?i)the answer is[ :$]*" + num), last_match(x, r"####[ $]*" + num), last_match(x, num), F.lit(""))
+    """The last 'the answer is X', else the rest of the line after the last ####, else the last number, else ''."""
+    cue = last_match(x, r"(?i)the answer is\s*([\-0-9.,$]+)")
+    return F.coalesce(strip(cue), strip(last_match(x, r"####\s*([^\n]+)")), last_match(x, r"(-?[0-9]+\.?[0-9]*)"), F.lit(""))
 
 
 def normalised_number(x: Column) -> Column:
-    return F.regexp_replace(F.translate(x, ", $%", ""), r"\.+$", "")
+    return strip(F.regexp_replace(F.translate(x, ", $%", ""), r"\.+$", ""))
 
 
 def same_number(a: Column, b: Column) -> Column:
@@ -78,17 +88,41 @@ def same_number(a: Column, b: Column) -> Column:
     return F.coalesce((a == b) | (F.abs(x - y) < 1e-6), F.lit(False))
 
 
-def choice_letter(x: Column) -> Column:
-    """The last 'answer is (X)', else the last parenthesised capital; null if there is none."""
-    return F.coalesce(last_match(x, r"(?i:answer is)[ :]*\(?([A-J])\)?"), last_match(x, r"\(([A-J])\)"))
+def choice_letter(x: Column, options: Column | None = None) -> Column:
+    """The letter of the last 'answer is (X)', 'Answer: X' or 'so (X)' (the first of these cues that
+    names one of the options), else the last parenthesised capital; null if there is none.
+
+    What follows the first sign of another question does not count.
+    """
+    options = F.lit(10) if options is None else options
+    x = F.when(F.contains(x, F.lit("\nQuestion:")), F.substring_index(x, "\nQuestion:", 1)).otherwise(F.substring_index(x, "\nQ:", 1))
+    cues = (r"(?i)answer\s+is\s+\(?([A-J])\)?", r"(?im)^\s*answer\s*[:=]\s*\(?([A-J])\)?", r"(?i)\b(?:therefore|hence|so|thus)[,\s]+\(?([A-J])\)?\b", r"\(([A-J])\)")
+    found = [F.upper(last_match(x, cue)) for cue in cues]
+    return F.coalesce(*[F.when(F.ascii(c) - 65 < options, c) for c in found])
+
+
+#: Labels of multiple-choice and yes/no answers, in the order in which they are looked for.
+LABELS = (r"(\([A-Z]\))", r"(?i)\b(True|False)\b", r"(?i)\b(Yes|No)\b")
 
 
 def task_answer(x: Column) -> Column:
-    """An explicit answer's label or text, else a label on the last line, else the last number, else the last line."""
-    explicit = last_match(x, r"(?i:answer is)[: ]*([^\n]*)")
-    line = F.element_at(F.split(F.regexp_replace(x, rf"{BLANK}+$", ""), "\n"), -1)
-    label = r"(\([A-Z]\))"
-    return F.coalesce(last_match(explicit, label), F.nullif(F.regexp_replace(explicit, r"[ .]+$", ""), F.lit("")), last_match(line, label), last_match(x, f"({NUMBER})"), line)
+    """The first explicit answer (its last label, else its text), else the last line's first label, number or text."""
+    cues = (r"(?i)(?:so\s+)?the\s+answer\s+is[:\s]+([^.\n]+)", r"(?im)^\s*answer\s*[:=]\s*([^.\n]+)")
+    lines = F.filter(F.split(x, r"\r\n|[\n\r\f\x0b]"), lambda y: strip(y) != "")
+    line = strip(F.coalesce(F.try_element_at(lines, F.lit(-1)), F.lit("")))
+
+    def explicit(cue: str) -> Column:
+        found = strip(F.regexp_extract(x, cue, 1))
+        return F.when(x.rlike(cue), F.coalesce(*[last_match(found, p) for p in LABELS], found))
+
+    firsts = [F.try_element_at(F.regexp_extract_all(line, F.lit(p), F.lit(1)), F.lit(1)) for p in LABELS]
+    bare = strip(F.regexp_replace(line, r"\.+$", ""))
+    return F.coalesce(*[explicit(c) for c in cues], *firsts, last_match(bare, f"({NUMBER})"), bare)
+
+
+def task_normalised(x: Column) -> Column:
+    """Lower case, punctuation but parentheses a space, white space collapsed."""
+    return strip(F.regexp_replace(F.regexp_replace(strip(F.lower(x)), r"[^\p{L}\p{N}_\s()]", " "), r"\s+", " "))
 
 
 def cut_at(x: Column, *stops: str) -> Column:
@@ -108,43 +142,66 @@ def unicode_answer_tokens(x: Column) -> Column:
     return F.filter(words(F.regexp_replace(F.lower(x), r"\p{P}", " ")), lambda w: ~w.isin("a", "an", "the"))
 
 
+# What a model puts before a short answer.
+PREAMBLES = (
+    r"^\s*the\s+answer\s+(?:is|would\s+be)\s*[:,]?\s*",
+    r"^\s*answer\s*[:=]\s*",
+    r"^\s*(?:it|that)\s+is\s*[:,]?\s*",
+    r"^\s*based\s+on\s+the\s+(?:passage|context|text)[^,]*,\s*",
+    r"^\s*according\s+to\s+the\s+(?:passage|context|text)[^,]*,\s*",
+)
+
+
 def strip_preamble(x: Column) -> Column:
-    """Drops leading 'Sure,', 'Answer:' and the like, three times at most."""
+    """Drops what stands before a short answer, three rounds at most."""
     for _ in range(3):
-        x = F.regexp_replace(strip(x), r"^(?i:sure[,!.]?|certainly[,!.]?|the answer is:?|answer:|a:)[ \n]*", "")
+        for pattern in PREAMBLES:
+            x = F.regexp_replace(x, f"(?i){pattern}", "")
     return strip(x)
 
 
 def alpaca_prompt(instruction: Column, given: Column) -> Column:
-    with_input = F.concat(
-        F.lit("Below is an instruction that describes a task, paired with an input that provides further context. Write a response that appropriately completes the request.\n\n### Instruction:\n"),
-        instruction, F.lit("\n\n### Input:\n"), given, F.lit("\n\n### Response:\n"),
-    )
-    without = F.concat(
-        F.lit("Below is an instruction that describes a task. Write a response that appropriately completes the request.\n\n### Instruction:\n"),
-        instruction, F.lit("\n\n### Response:\n"),
-    )
-    return F.when(strip(F.coalesce(given, F.lit(""))) != "", with_input).otherwise(without)
-
-
-def chat_prompt(style: str, instruction: Column) -> Column:
-    if style == "chatml":
-        return F.concat(F.lit("<|im_start|>user\n"), instruction, F.lit("<|im_end|>\n<|im_start|>assistant\n"))
-    if style == "mistral":
-        return F.concat(F.lit("[INST] "), instruction, F.lit(" [/INST]"))
-    if style == "user_assistant":
-        return F.concat(F.lit("User: "), instruction, F.lit("\n\nAssistant:"))
-    raise ValueError(f"unknown prompt style: {style}")
+    given = strip(F.coalesce(given, F.lit("")))
+    part = F.when(given != "", F.concat(F.lit(", using the input below as context\n\n### Input:\n"), given)).otherwise(F.lit(""))
+    return F.concat(
+        F.lit("Below is an instruction that describes a task"), part,
+        F.lit(". Write a response that appropriately completes the request.\n\n### Instruction:\n"), instruction, F.lit("\n\n### Response:\n"),
+    )
+
+
+#: What stands before and after the user's text, by prompt style.
+CHAT_STYLES = {
+    "qwen_chatml": ("<|im_start|>user\n", "\n<|im_end|>\n<|im_start|>assistant\n"),
+    "mistral_instruct": ("<s>[INST] ", " [/INST] "),
+    "llama_user_assistant": ("<|user|>\n", "\n\n<|assistant|>\n"),
+    "deepseek_user_assistant": ("<|user|>\n", "\n\n<|assistant|>\n"),
+}
+
+
+def prompt(style: str, instruction: Column, given: Column) -> Column:
+    """The prompt of a record in one of five styles."""
+    if style == "alpaca_default":
+        return alpaca_prompt(instruction, given)
+    if style not in CHAT_STYLES:
+        raise ValueError(f"unknown prompt style: {style}")
+    given = F.coalesce(given, F.lit(""))
+    user = F.when(strip(given) != "", F.concat(instruction, F.lit("\n\n"), given)).otherwise(instruction)
+    before, after = CHAT_STYLES[style]
+    return F.concat(F.lit(before), user, F.lit(after))
 
 
 def clip(x: Column, n: int) -> Column:
     return F.when(F.length(x) > n, F.concat(F.left(x, F.lit(n)), F.lit("…"))).otherwise(x)
 
 
-def perturbed_number(x: Column, step: int = 1) -> Column:
-    """The last number of the text changed by ``step``; null without one."""
+def perturbed_number(x: Column, share: Column, up: Column) -> Column:
+    """The last number of the text moved by ``share`` of itself, one at least, up or down; null without one."""
     head, num, tail = (F.regexp_extract(x, rf"(?s)^(.*?)({NUMBER})([^0-9]*)$", i) for i in (1, 2, 3))
-    changed = F.when(num.contains("."), F.round(num.try_cast("double") + step, 4).cast("string")).otherwise((num.try_cast("bigint") + step).cast("string"))
+    sign = F.when(up, 1).otherwise(-1)
+    real, whole = num.try_cast("double"), num.try_cast("decimal(30,0)")
+    moved = F.when(num.contains("."), F.format_string("%.2f", real + sign * F.greatest(F.lit(1.0), F.abs(real) * share)))
+    moved = moved.otherwise((whole + sign * F.greatest(F.lit(1), F.floor(F.abs(whole).cast("double") * share).cast("decimal(30,0)"))).cast("decimal(30,0)").cast("string"))
+    changed = F.when(moved == num, F.concat(num, F.lit("0"))).otherwise(moved)
     return F.when(has_number(x), F.concat(head, changed, tail))
 
 

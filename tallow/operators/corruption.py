@@ -68,7 +68,7 @@ def corrupt(pool: DataFrame, fractions: dict[str, float], seed: int) -> DataFram
     rows = typed.join(donors, "partner_id", "left")
     share = 0.3 + 0.4 * uniform(seed, "cut", F.col("pool_id"))
     out = (
-        F.when(F.col("type") == "wrong_answer", X.perturbed_number(F.col("output")))
+        F.when(F.col("type") == "wrong_answer", X.perturbed_number(F.col("output"), 0.1 + 0.4 * uniform(seed, "share", F.col("pool_id")), uniform(seed, "up", F.col("pool_id")) < 0.5))
         .when(F.col("type") == "mismatch", F.col("_donor"))
         .when(F.col("type") == "noisy", drop_words(F.col("output"), seed, F.col("pool_id")))
         .when(F.col("type") == "truncated", X.truncated(F.col("output"), share))

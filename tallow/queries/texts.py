@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -56,17 +58,21 @@ def conv_pairs(spark, d):
 
 def alpaca_prompt(spark, d):
     p = view(spark, d, PAIRS)
-    given = F.when(F.col("pool_id") % 2 == 0, F.left("output", F.lit(20))).otherwise(F.lit(""))
+    given = F.when(F.col("pool_id") % 2 == 0, F.left("output", F.lit(20))).otherwise(F.lit(" "))
     return p.select("pool_id", F.md5(X.alpaca_prompt(F.col("instruction"), given)).alias("h"))
 
 
 def prompt_styles(spark, d):
     p = view(spark, d, PAIRS)
-    return p.select("pool_id", *[F.md5(X.chat_prompt(s, F.col("instruction"))).alias(s) for s in ("chatml", "mistral", "user_assistant")])
+    given = F.when(F.col("pool_id") % 2 == 0, F.left("output", F.lit(20))).otherwise(F.lit(" "))
+    return p.select("pool_id", *[F.md5(X.prompt(style, F.col("instruction"), given)).alias(style) for style in X.CHAT_STYLES])
 
 
-ANSWERS = """SELECT p_partkey AS id, CASE p_partkey % 6 WHEN 0 THEN p_name || ' The answer is ' || p_size || '.' WHEN 1 THEN 'We get 12 #### $' || p_size || ',000' WHEN 2 THEN p_name || ' ' || p_size || ' or ' || (p_size + 1)
-  WHEN 3 THEN 'Answer: so the answer is (' || chr(65 + p_size % 10) || ')' WHEN 4 THEN 'Sure, (B) or (' || chr(65 + p_size % 10) || ') it is' ELSE p_name END AS answer, p_size, p_name FROM part"""
+ANSWERS = """SELECT p_partkey AS id, CASE p_partkey % 12 WHEN 0 THEN p_name || ' The answer is ' || p_size || '.' WHEN 1 THEN 'We get 12 #### $' || p_size || ',000' WHEN 2 THEN p_name || ' ' || p_size || ' or ' || (p_size + 1)
+  WHEN 3 THEN 'Answer: so the answer is (' || chr(65 + p_size % 10) || ')' WHEN 4 THEN 'Sure, (B) or (' || chr(65 + p_size % 10) || ') it is' WHEN 5 THEN p_name
+  WHEN 6 THEN 'According to the text, it is the answer would be: ' || p_name WHEN 7 THEN 'The answer is true. However, 3 of ' || p_size || chr(10) || 'no'
+  WHEN 8 THEN 'Therefore ' || chr(97 + p_size % 10) || chr(10) || 'Question: the answer is (A)' WHEN 9 THEN 'Yes if (C).' || chr(10) || p_size || ' so No.' || chr(10)
+  WHEN 10 THEN 'Based on the passage here, the answer is $-' || p_size || '.50, the answer is ' || p_size || '.25.' ELSE p_name || chr(10) || ' answer = ' || p_size || ' or B. C' END AS answer, p_size, p_name FROM part"""
 
 
 def _answers(spark, d):
@@ -79,11 +85,11 @@ def number_extract_grade(spark, d):
 
 
 def choice_letter_extract(spark, d):
-    return _answers(spark, d).select("id", X.choice_letter(F.col("answer")).alias("letter"))
+    return _answers(spark, d).select("id", X.choice_letter(F.col("answer"), 4 + F.col("id") % 7).alias("letter"))
 
 
 def task_answer_extract(spark, d):
-    return _answers(spark, d).select("id", X.task_answer(F.col("answer")).alias("found"))
+    return _answers(spark, d).select("id", X.task_answer(F.col("answer")).alias("found"), X.task_normalised(F.col("answer")).alias("plain"))
 
 
 def preamble_strip(spark, d):
@@ -140,7 +146,7 @@ def truncate_text(spark, d):
 
 
 def perturb_last_number(spark, d):
-    return _answers(spark, d).select("id", X.perturbed_number(F.col("answer")).alias("changed"))
+    return _answers(spark, d).select("id", X.perturbed_number(F.col("answer"), 0.1 + 0.4 * uniform(42, "share", F.col("id")), uniform(42, "up", F.col("id")) < 0.5).alias("changed"))
 
 
 def corrupted_pool(spark, d):
@@ -200,15 +206,16 @@ def first_n_per_group(spark, d):
 
 
 PAIR = f"pairs AS ({PAIRS})"
-NUMBER = r"(-?[0-9][0-9,]*(?:\.[0-9]+)?)"
-
-
 def last_sql(x: str, p: str) -> str:
     return f"regexp_extract_all({x}, {sq(p)}, 1)[-1]"
 
 
-NUM = f"coalesce({last_sql('answer', '(?i)the answer is[ :$]*' + NUMBER)}, {last_sql('answer', '####[ $]*' + NUMBER)}, {last_sql('answer', NUMBER)}, '')"
-CLEAN = f"regexp_replace(translate({NUM}, ', $%', ''), {sq('[.]+$')}, '')"
+def strip_sql(x: str) -> str:
+    return f"regexp_replace({x}, {sq(f'^{B}+|{B}+$')}, '', 'g')"
+
+
+NUM = f"coalesce({strip_sql(last_sql('answer', '(?i)the answer is[ ' + chr(92) + 't' + chr(92) + 'n]*([0-9.,$-]+)'))}, {strip_sql(last_sql('answer', '####' + chr(92) + 's*([^' + chr(92) + 'n]+)'))}, {last_sql('answer', '(-?[0-9]+[.]?[0-9]*)')}, '')"
+CLEAN = strip_sql(f"regexp_replace(translate({NUM}, ', $%', ''), {sq('[.]+$')}, '')")
 U = "('0x' || substr(md5({}), 1, 15))::BIGINT / 1152921504606846976.0"
 TOK = "list_filter(regexp_split_to_array(regexp_replace(lower({x}), '[!-/:-@\\[-`{{-~]', '', 'g'), " + sq(B + "+") + "), lambda w: w NOT IN ('', 'a', 'an', 'the'))"
 LEN = f"{PAIR}, sized AS (SELECT pool_id, least(floor((row_number() OVER (ORDER BY len({words_sql('output')}), pool_id) - 1) * 4 / count(*) OVER ()), 3)::INT AS bucket FROM pairs)"
@@ -232,40 +239,60 @@ ENDINGS = ", ".join(f"'{w}'" for w in X.DANGLING)
 
 
 def structured_sql(x: str) -> str:
-    tests = (r"^[ \t]*[-*+] ", r"^[ \t]*(?:[0-9]+|[A-Za-z]{1,4})[.)] ", r"^[ \t]*\|.*\|[ \t]*$", r"^[^:\n]{1,40}: .")
-    return "(" + " OR ".join(f"regexp_matches({x}, {sq(t)})" for t in tests) + ")"
+    tests = (r"^\|.*\|$", r"^[-*+•–—] ", r"^(?:[0-9]+|\p{L}{1,4})[.)] ", r"^[^:]{1,40}:.")
+    return "(" + " OR ".join(f"regexp_matches({strip_sql(x)}, {sq(t)})" for t in tests) + ")"
 
 
-COMPLETE = f"""CASE WHEN regexp_replace(text, {sq(f'^{B}+|{B}+$')}, '', 'g') = '' THEN false WHEN ((length(t) - length(replace(t, '```', ''))) // 3) % 2 = 1 THEN false WHEN ends_with(t, '```') THEN true
-  WHEN len(string_split(t, chr(10))) > 1 AND {structured_sql('string_split(t, chr(10))[-1]')} THEN true WHEN regexp_matches(regexp_replace(t, {sq('["' + chr(39) + '`*_)' + chr(92) + ']}]+$')}, ''), '[.!?:;0-9]$') THEN true
-  WHEN len(w) <= 3 THEN lower(regexp_replace(coalesce(w[-1], ''), '[^A-Za-z]', '', 'g')) NOT IN ({ENDINGS}) ELSE false END"""
+WRAP = X.WRAPPERS
+LINES = "list_filter(regexp_split_to_array({x}, " + sq(r"\r\n|[\n\r\f\x0b]") + "), lambda y: " + strip_sql("y") + " <> '')"
+COMPLETE = f"""CASE WHEN t = '' THEN false WHEN ((length(t) - length(replace(t, '```', ''))) // 3) % 2 = 1 THEN false WHEN ends_with(t, '```') THEN true
+  WHEN len({LINES.format(x='t')}) > 1 AND {structured_sql(LINES.format(x='t') + '[-1]')} THEN true WHEN regexp_replace(t, {sq(f'[{WRAP}]+$')}, '') = '' THEN false
+  WHEN regexp_matches(regexp_replace(t, {sq(f'[{WRAP}]+$')}, ''), {sq(f'[{X.ENDS}0-9]$')}) THEN true WHEN len(w) > 3 THEN false
+  ELSE lower(regexp_replace(coalesce(w[-1], ''), {sq(f'^[{WRAP},;:]+|[{WRAP},;:]+$')}, '', 'g')) NOT IN ({ENDINGS}) END"""
 NUMERIC = r"(?s)^(.*?)(-?[0-9]+(?:\.[0-9]+)?)([^0-9]*)$"
 ASSIGN = f"""{PAIR}, n AS (SELECT *, md5('42:assign:' || pool_id) AS draw, regexp_matches(output, '-?[0-9]+') AS num, count(*) OVER () AS n FROM pairs),
 w AS (SELECT *, num AND row_number() OVER (PARTITION BY num ORDER BY draw, pool_id) <= least(round_even(n * 0.1, 0), sum(CASE WHEN num THEN 1 ELSE 0 END) OVER ()) AS wrong FROM n),
 p AS (SELECT *, row_number() OVER (PARTITION BY wrong ORDER BY draw, pool_id) AS place FROM w)"""
 
-def strip_sql(x: str) -> str:
-    return f"regexp_replace({x}, {sq(f'^{B}+|{B}+$')}, '', 'g')"
-
-
 def preamble_sql(x: str) -> str:
     for _ in range(3):
-        x = f"regexp_replace({strip_sql(x)}, {sq(r'^(?i:sure[,!.]?|certainly[,!.]?|the answer is:?|answer:|a:)[ ' + chr(92) + 'n]*')}, '')"
+        for pattern in X.PREAMBLES:
+            x = f"regexp_replace({x}, {sq('(?i)' + pattern)}, '')"
     return strip_sql(x)
 
 
-_WITH_INPUT = "'Below is an instruction that describes a task, paired with an input that provides further context. Write a response that appropriately completes the request.' || chr(10) || chr(10) || '### Instruction:' || chr(10) || instruction || chr(10) || chr(10) || '### Input:' || chr(10) || substr(output, 1, 20) || chr(10) || chr(10) || '### Response:' || chr(10)"
-_WITHOUT = "'Below is an instruction that describes a task. Write a response that appropriately completes the request.' || chr(10) || chr(10) || '### Instruction:' || chr(10) || instruction || chr(10) || chr(10) || '### Response:' || chr(10)"
+def explicit_sql(x: str, cue: str) -> str:
+    found = strip_sql(f"regexp_extract({x}, {sq(cue)}, 1)")
+    return f"CASE WHEN regexp_matches({x}, {sq(cue)}) THEN coalesce({', '.join(last_sql(found, p) for p in X.LABELS)}, {found}) END"
+
+
+def choice_sql(x: str, n: str) -> str:
+    cues = (r"(?i)answer\s+is\s+\(?([A-J])\)?", r"(?im)^\s*answer\s*[:=]\s*\(?([A-J])\)?", r"(?i)\b(?:therefore|hence|so|thus)[,\s]+\(?([A-J])\)?\b", r"\(([A-J])\)")
+    return "coalesce(" + ", ".join(f"CASE WHEN ascii(upper({last_sql(x, c)})) - 65 < {n} THEN upper({last_sql(x, c)}) END" for c in cues) + ")"
+
+
+CUES = (r"(?i)(?:so\s+)?the\s+answer\s+is[:\s]+([^.\n]+)", r"(?im)^\s*answer\s*[:=]\s*([^.\n]+)")
+GIVEN = "CASE WHEN pool_id % 2 = 0 THEN substr(output, 1, 20) ELSE '' END"
+_GIVEN = strip_sql(GIVEN)
+_USER = f"instruction || CASE WHEN {_GIVEN} <> '' THEN chr(10) || chr(10) || {GIVEN} ELSE '' END"
+
+
+def lit_sql(text: str) -> str:
+    return " || ".join("chr(10)" if part == "\n" else sq(part) for part in re.split("(\n)", text) if part)
+
+
+STYLED = ", ".join(f"md5({lit_sql(before)} || {_USER} || {lit_sql(after)}) AS {style}" for style, (before, after) in X.CHAT_STYLES.items())
+PERTURBED = """CASE WHEN num = '' THEN NULL ELSE head || CASE WHEN moved = num THEN num || '0' ELSE moved END || tail END"""
 
 ORACLE_SQL = {
     "word_counts": f"SELECT doc_id, len({words_sql('text')})::INT AS words, regexp_matches(text, '-?[0-9]+') AS numeric FROM documents",
     "dedup_normalise": f"SELECT doc_id, md5({norm_sql('text')}) AS h FROM documents",
     "word_count_buckets": "SELECT doc_id, least(floor((row_number() OVER (ORDER BY n_chars, doc_id) - 1) * 8 / count(*) OVER ()), 7)::INT AS bucket FROM documents",
     "conv_pairs": PAIRS,
-    "alpaca_prompt": f"WITH {PAIR} SELECT pool_id, md5(CASE WHEN pool_id % 2 = 0 AND trim(output) <> '' THEN {_WITH_INPUT} ELSE {_WITHOUT} END) AS h FROM pairs",
-    "prompt_styles": f"WITH {PAIR} SELECT pool_id, md5('<|im_start|>user' || chr(10) || instruction || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10)) AS chatml, md5('[INST] ' || instruction || ' [/INST]') AS mistral, md5('User: ' || instruction || chr(10) || chr(10) || 'Assistant:') AS user_assistant FROM pairs",
+    "alpaca_prompt": f"WITH {PAIR} SELECT pool_id, md5('Below is an instruction that describes a task' || CASE WHEN {_GIVEN} <> '' THEN ', using the input below as context' || chr(10) || chr(10) || '### Input:' || chr(10) || {_GIVEN} ELSE '' END || {lit_sql('. Write a response that appropriately completes the request.' + chr(10) * 2 + '### Instruction:' + chr(10))} || instruction || {lit_sql(chr(10) * 2 + '### Response:' + chr(10))}) AS h FROM pairs",
+    "prompt_styles": f"WITH {PAIR} SELECT pool_id, {STYLED} FROM pairs",
     "number_extract_grade": f"WITH a AS ({ANSWERS}), n AS (SELECT id, p_size, {NUM} AS number, {CLEAN} AS clean FROM a) SELECT id, number, clean, coalesce(clean = cast(p_size AS VARCHAR) OR abs(try_cast(clean AS DOUBLE) - p_size) < 1e-6, false) AS correct FROM n",
-    "choice_letter_extract": f"WITH a AS ({ANSWERS}) SELECT id, coalesce({last_sql('answer', '(?i:answer is)[ :]*[(]?([A-J])[)]?')}, {last_sql('answer', '[(]([A-J])[)]')}) AS letter FROM a",
+    "choice_letter_extract": f"WITH a AS (SELECT id, CASE WHEN contains(answer, chr(10) || 'Question:') THEN split_part(answer, chr(10) || 'Question:', 1) ELSE split_part(answer, chr(10) || 'Q:', 1) END AS answer FROM ({ANSWERS})) SELECT id, {choice_sql('answer', '4 + id % 7')} AS letter FROM a",
     "squad_em_f1": f"WITH {PAIR}, t AS (SELECT pool_id, {TOK.format(x='output')} AS a, {TOK.format(x='instruction')} AS b FROM pairs), ca AS (SELECT pool_id, w, count(*) AS n FROM (SELECT pool_id, unnest(a) AS w FROM t) GROUP BY ALL), cb AS (SELECT pool_id, w, count(*) AS n FROM (SELECT pool_id, unnest(b) AS w FROM t) GROUP BY ALL), c AS (SELECT ca.pool_id, sum(least(ca.n, cb.n)) AS n FROM ca JOIN cb ON ca.pool_id = cb.pool_id AND ca.w = cb.w GROUP BY ca.pool_id) SELECT t.pool_id, array_to_string(a, ' ') = array_to_string(b, ' ') AS em, round(CASE WHEN len(a) = 0 OR len(b) = 0 THEN CASE WHEN len(a) = len(b) THEN 1.0 ELSE 0.0 END ELSE 2 * coalesce(c.n, 0) / (len(a) + len(b)) END, 6) AS f1 FROM t LEFT JOIN c ON t.pool_id = c.pool_id",
     "argmax_choice": "SELECT vec_id, list_position(embedding[1:4], list_max(embedding[1:4])) - 1 AS choice FROM embeddings",
     "display_clip": "SELECT doc_id, CASE WHEN length(text) > 40 THEN substr(text, 1, 40) || '…' ELSE text END AS shown FROM documents",
@@ -284,7 +311,7 @@ ORACLE_SQL = {
     "text_complete": f"WITH c AS (SELECT conv_id, turn, text, regexp_replace(text, {sq(B + '+$')}, '') AS t FROM conversations), d AS (SELECT *, {words_sql('t')} AS w FROM c) SELECT conv_id, turn, {COMPLETE} AS complete FROM d",
     "structured_lines": f"WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) SELECT doc_id, count(*) AS lines, count(*) FILTER (WHERE {structured_sql('line')}) AS structured FROM l GROUP BY doc_id",
     "corrupt_assign": f"WITH {ASSIGN} SELECT pool_id, CASE WHEN wrong THEN 'wrong_answer' WHEN place <= round_even(n * 0.1, 0) THEN 'mismatch' WHEN place <= 2 * round_even(n * 0.1, 0) THEN 'noisy' WHEN place <= 2 * round_even(n * 0.1, 0) + round_even(n * 0.15, 0) THEN 'truncated' ELSE 'clean' END AS type FROM p",
-    "perturb_last_number": f"WITH a AS ({ANSWERS}) SELECT id, CASE WHEN regexp_matches(answer, '-?[0-9]+') THEN regexp_extract(answer, {sq(NUMERIC)}, 1) || cast(cast(regexp_extract(answer, {sq(NUMERIC)}, 2) AS BIGINT) + 1 AS VARCHAR) || regexp_extract(answer, {sq(NUMERIC)}, 3) END AS changed FROM a",
+    "perturb_last_number": f"WITH a AS (SELECT id, answer, regexp_extract(answer, {sq(NUMERIC)}, 1) AS head, regexp_extract(answer, {sq(NUMERIC)}, 2) AS num, regexp_extract(answer, {sq(NUMERIC)}, 3) AS tail, 0.1::DOUBLE + 0.4::DOUBLE * {U.format(chr(39) + '42:share:' + chr(39) + ' || id')} AS share, CASE WHEN {U.format(chr(39) + '42:up:' + chr(39) + ' || id')} < 0.5 THEN 1 ELSE -1 END AS sign FROM ({ANSWERS})), m AS (SELECT *, CASE WHEN contains(num, '.') THEN printf('%.2f', try_cast(num AS DOUBLE) + sign * greatest(1.0::DOUBLE, abs(try_cast(num AS DOUBLE)) * share)) ELSE cast(try_cast(num AS BIGINT) + sign * greatest(1, floor(abs(try_cast(num AS BIGINT)) * share)::BIGINT) AS VARCHAR) END AS moved FROM a) SELECT id, {PERTURBED} AS changed FROM m",
     "preamble_strip": f"WITH a AS ({ANSWERS}) SELECT id, {preamble_sql('answer')} AS rest, split_part(split_part(answer, ' or ', 1), '####', 1) AS cut FROM a",
-    "task_answer_extract": f"WITH a AS ({ANSWERS}), e AS (SELECT id, answer, {last_sql('answer', '(?i:answer is)[: ]*([^' + chr(10) + ']*)')} AS ex, string_split(regexp_replace(answer, {sq(B + '+$')}, ''), chr(10))[-1] AS line FROM a) SELECT id, coalesce({last_sql('ex', '([(][A-Z][)])')}, nullif(regexp_replace(ex, '[ .]+$', ''), ''), {last_sql('line', '([(][A-Z][)])')}, {last_sql('answer', '(-?[0-9]+(?:[.][0-9]+)?)')}, line) AS found FROM e",
+    "task_answer_extract": f"WITH a AS ({ANSWERS}), e AS (SELECT id, answer, {strip_sql('coalesce(' + LINES.format(x='answer') + '[-1], ' + chr(39) * 2 + ')')} AS line FROM a), f AS (SELECT *, {strip_sql('regexp_replace(line, ' + sq('[.]+$') + ', ' + chr(39) * 2 + ')')} AS bare FROM e) SELECT id, coalesce({', '.join(explicit_sql('answer', c) for c in CUES)}, {', '.join(f'regexp_extract_all(line, {sq(p)}, 1)[1]' for p in X.LABELS)}, {last_sql('bare', '(-?[0-9]+(?:[.][0-9]+)?)')}, bare) AS found, {strip_sql('regexp_replace(regexp_replace(' + strip_sql('lower(answer)') + ', ' + sq('[^' + chr(92) + 'p{L}' + chr(92) + 'p{N}_' + chr(92) + 's()]') + ', ' + sq(' ') + ', ' + sq('g') + '), ' + sq(chr(92) + 's+') + ', ' + sq(' ') + ', ' + sq('g') + ')')} AS plain FROM f",
 }
