@@ -22,6 +22,7 @@ class GateConfig:
     span_tokens: int = 16
     min_span_tokens: int = 1
     tau: float = 0.5
+    tau_per_token: bool = True
     alpha: float = 0.05
     target_pct: float = 0.10
     target_gate: float = 0.6
@@ -44,14 +45,16 @@ def spans(tokens: DataFrame, width: int) -> DataFrame:
     return tokens.groupBy("pool_id", m.alias("m")).agg(F.sum("tr").alias("span_true"), F.sum("cf").alias("span_cf"), F.count("*").alias("span_len"))
 
 
-def valid(min_tokens: int, tau: float) -> Column:
-    return (F.col("span_len") >= min_tokens) & (F.col("span_cf") / F.col("span_len") >= tau)
+def valid(min_tokens: int, tau: float, per_token: bool = True) -> Column:
+    """Spans long enough whose counterfactual loss, a token or in all, reaches ``tau``."""
+    loss = F.col("span_cf") / F.col("span_len") if per_token else F.col("span_cf")
+    return (F.col("span_len") >= min_tokens) & (loss >= tau)
 
 
 def components(tokens: DataFrame, cfg: GateConfig) -> DataFrame:
     """By record: delta_bar, delta_min (tail gain over valid spans, else delta_bar), delta_raw, spans."""
     g = gain(F.col("span_true"), F.col("span_cf"))
-    ok = valid(cfg.min_span_tokens, cfg.tau)
+    ok = valid(cfg.min_span_tokens, cfg.tau, cfg.tau_per_token)
     tail = F.min(F.when(ok, g)) if cfg.tail_quantile is None else F.percentile(F.when(ok, g), cfg.tail_quantile)
     rows = spans(tokens, cfg.span_tokens).groupBy("pool_id").agg(
         gain(F.sum("span_true"), F.sum("span_cf")).alias("delta_bar"),
@@ -74,6 +77,8 @@ def null_bins(sizes: list[tuple[int, int]], min_count: int, max_bins: int) -> li
 
     ``sizes``: (span count, records), one pair a distinct count. The last bin takes the rest.
     """
+    if not sizes:
+        return []
     per_bin = max(min_count, -(-sum(n for _, n in sizes) // max_bins))
     edges, held = [], 0
     for m, n in sorted(sizes):

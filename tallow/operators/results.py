@@ -70,19 +70,24 @@ def paired(values: DataFrame, method: str, a: str, b: str, on: list[str], value:
     return left.join(right, on).select(*on, (F.col("_a") - F.col("_b")).alias("diff"))
 
 
-def sign_flip(diffs: DataFrame, by: list[str], most: int = 12) -> DataFrame:
-    """Exact two-sided sign-flip p of each group's mean difference; groups of at most ``most``.
+def sign_flip(diffs: DataFrame, by: list[str], most: int = 12, draws: int = 20_000, seed: int = 42) -> DataFrame:
+    """Two-sided sign-flip p of each group's mean difference (a pair a seed: groups are small).
 
-    The 2^n sign masks are bounded by ``most``; larger groups are an error here.
+    Over all 2^n sign masks up to ``most`` pairs; beyond, (1 + hits) / (1 + draws) of seeded draws.
     """
-    groups = diffs.groupBy(*by).agg(F.array_sort(F.collect_list("diff")).alias("d"))
-    fits = F.when(F.size("d") <= most, F.size("d")).otherwise(F.raise_error(F.lit(f"more than {most} pairs")).cast("int"))
-    masks = groups.withColumn("n", fits).withColumn("mask", F.explode(F.sequence(F.lit(0), F.pow(F.lit(2), F.col("n")).cast("int") - 1)))
-    total = F.aggregate(
-        F.transform("d", lambda x, i: F.when(F.getbit("mask", i) == 1, -x).otherwise(x)), F.lit(0.0), lambda s, x: s + x
-    )
+    groups = diffs.groupBy(*by).agg(F.array_sort(F.collect_list("diff")).alias("d")).withColumn("n", F.size("d"))
+    last = F.when(F.col("n") <= most, F.pow(F.lit(2), F.least("n", F.lit(most))).cast("int")).otherwise(draws) - 1
+    masks = groups.withColumn("mask", F.explode(F.sequence(F.lit(0), last)))
+
+    def flipped(i: Column) -> Column:
+        drawn = F.pmod(F.xxhash64(F.lit(seed), "mask", i), F.lit(2)) == 1
+        return F.when(F.col("n") <= most, F.getbit("mask", F.least(i, F.lit(30))) == 1).otherwise(drawn)
+
+    total = F.aggregate(F.transform("d", lambda x, i: F.when(flipped(i), -x).otherwise(x)), F.lit(0.0), lambda s, x: s + x)
     seen = F.aggregate("d", F.lit(0.0), lambda s, x: s + x)
-    return masks.groupBy(*by).agg(F.first("n").alias("n"), F.first(seen / F.col("n")).alias("mean_diff"), F.avg((F.abs(total) >= F.abs(seen) - 1e-9).cast("double")).alias("p"))
+    hits, n = F.count_if(F.abs(total) >= F.abs(seen) - 1e-9), F.first("n")
+    p = F.when(n <= most, hits / F.count("*")).otherwise((1 + hits) / (1 + F.count("*")))
+    return masks.groupBy(*by).agg(n.alias("n"), F.first(seen / F.col("n")).alias("mean_diff"), p.alias("p"))
 
 
 def holm(tests: DataFrame, p: str = "p", key: list[str] | None = None) -> DataFrame:
@@ -102,6 +107,14 @@ def require_unique(runs: DataFrame, by: list[str]) -> DataFrame:
     return runs
 
 
+def require_distinct_seeds(runs: DataFrame, cell: list[str], seed: str = "seed") -> DataFrame:
+    """At most one run a cell and seed; a run without a seed stands alone in its cell."""
+    counts = runs.groupBy(*cell).agg(F.count("*").alias("n"), F.count_distinct(seed).alias("seeds"), F.count_if(F.col(seed).isNull()).alias("unknown"))
+    if not counts.filter("(unknown > 0 AND n > 1) OR (unknown = 0 AND n > seeds)").isEmpty():
+        raise IntegrityError(f"runs of one {', '.join(cell)} cannot be told apart by {seed}")
+    return runs
+
+
 def require_agreement(runs: DataFrame, by: list[str], value: str, tolerance: float = 1e-9) -> DataFrame:
     off = runs.groupBy(*by).agg((F.max(value) - F.min(value)).alias("_d")).filter(F.col("_d") > tolerance)
     if not off.isEmpty():

@@ -36,11 +36,11 @@ def rank01(rows: DataFrame, column: str, out: str, by: list[str] | None = None)
     """Mid-ranks scaled to [0, 1]; 0.5 for one row.
 
     Ranks are summed over the distinct values of each group, not over its rows: rows meet by
-    value, and ties cost nothing.
+    value, and ties cost nothing. A null has no rank (null) and counts for no other's.
     """
     by = by or []
     groups = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    counts = rows.groupBy(*by, column).agg(F.count("*").alias("_n"))
+    counts = rows.filter(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count("*").alias("_n"))
     ranked = counts.select(*by, F.col(column).alias("_v"), F.col("_n"), F.sum("_n").over(groups.orderBy(column)).alias("_upto"), F.sum("_n").over(groups).alias("_all"))
     mid = ranked.select(
         *[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)],
@@ -50,7 +50,7 @@ def rank01(rows: DataFrame, column: str, out: str, by: list[str] | None = None)
     on = rows[column] == mid["_v"]
     for i, c in enumerate(by):
         on = on & rows[c].eqNullSafe(mid[f"_k{i}"])
-    return rows.join(mid, on).drop("_v", *[f"_k{i}" for i in range(len(by))])
+    return rows.join(mid, on, "left").drop("_v", *[f"_k{i}" for i in range(len(by))])
 
 
 def rank01_positional(rows: DataFrame, column: str, key: str, out: str) -> DataFrame:

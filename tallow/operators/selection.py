@@ -14,19 +14,23 @@ def budget(n: int, ratio: float) -> int:
 
 
 def guard(rows: DataFrame, column: str) -> Column:
-    """The column, raising on null or NaN: a ranking must not order what is not a number."""
-    bad = F.col(column).isNull() | F.isnan(column)
-    return F.when(bad, F.raise_error(F.lit(f"{column} holds a null or NaN")).cast("double")).otherwise(F.col(column))
+    """The column, raising on null, NaN or infinity: a ranking must not order what is not a number."""
+    bad = F.col(column).isNull() | F.isnan(column) | (F.abs(column) == float("inf"))
+    return F.when(bad, F.raise_error(F.lit(f"{column} holds a null, NaN or infinity")).cast("double")).otherwise(F.col(column))
 
 
-def top(rows: DataFrame, score: str, k: int, key: str = "pool_id") -> DataFrame:
+def top(rows: DataFrame, score: str, k: int, key: str = "pool_id", exact: bool = False) -> DataFrame:
+    """The best k; a budget of none, or (``exact``) beyond the table, is an error."""
     if k <= 0:
         raise ValueError("the budget must be positive")
+    if exact and rows.limit(k).count() < k:
+        raise ValueError("the budget is larger than the table")
     return rows.withColumn(score, guard(rows, score)).orderBy(F.desc(score), key).limit(k)
 
 
 def gated_key(rows: DataFrame, score: str, fallback: str, gate: str) -> DataFrame:
     """select_key: 2 + rank of the score where the gate is open, else the rank of the fallback."""
+    rows = rows.withColumns({c: guard(rows, c) for c in (score, fallback, gate)})
     ranked = rank01(rank01(rows, score, "_rs"), fallback, "_rf")
     return ranked.withColumn("select_key", F.when(F.col(gate) > 0, 2 + F.col("_rs")).otherwise(F.col("_rf"))).drop("_rs", "_rf")
 

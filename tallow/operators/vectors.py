@@ -36,18 +36,56 @@ def alignment(rows: DataFrame, directions: DataFrame, key: str, vector: str, tot
     return scored.groupBy(key).agg((F.sum("_d") if total else F.avg("_d")).alias("align"))
 
 
+def moments(rows: DataFrame, by: str, vector: str) -> DataFrame:
+    """by, n, mean, second (the upper triangle of the mean products): sums made in the JVM, a row a group."""
+    flat = rows.select(by, F.posexplode(vector).alias("i", "x"), vector).select(by, "i", F.col("x").cast("double").alias("x"), F.posexplode(vector).alias("j", "y")).filter("i <= j")
+    cells = flat.groupBy(by, "i", "j").agg(F.avg(F.col("x") * F.col("y").cast("double")).alias("xy"), F.avg("x").alias("mx"), F.count("*").alias("n"))
+    return cells.groupBy(by).agg(
+        F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.when(F.col("i") == F.col("j"), F.struct("i", "mx")))), lambda c: c["mx"]).alias("mean"),
+        F.transform(F.array_sort(F.collect_list(F.struct("i", "j", "xy"))), lambda c: c["xy"]).alias("second"),
+    )
+
+
 def principal(rows: DataFrame, by: str, vector: str) -> DataFrame:
-    """by, direction, lambda1, lambda2 of each group's covariance; one group a task at a time."""
+    """by, direction, mean, lambda1, lambda2 of each group's covariance; the direction agrees with the mean.
+
+    Products are summed by dimension pair over all rows; only a group's matrix meets in one task.
+    """
     import numpy as np
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(pdf[vector].to_numpy()).astype(np.float64)
-        values, vectors = np.linalg.eigh(np.cov(x, rowvar=False, bias=True))
-        first = vectors[:, -1] * (np.sign(vectors[np.argmax(np.abs(vectors[:, -1])), -1]) or 1.0)
-        return pd.DataFrame({by: [pdf[by].iloc[0]], "direction": [first.tolist()], "lambda1": [values[-1]], "lambda2": [values[-2]]})
+    def fit(batches):
+        for pdf in batches:
+            found = []
+            for key, mean, second in zip(pdf[by], pdf["mean"], pdf["second"]):
+                m = np.asarray(mean, dtype=np.float64)
+                matrix = np.zeros((len(m), len(m)))
+                matrix[np.triu_indices(len(m))] = second
+                matrix = matrix + np.triu(matrix, 1).T - np.outer(m, m)
+                values, vectors = np.linalg.eigh(matrix)
+                first = vectors[:, -1] * (1.0 if vectors[:, -1] @ m >= 0 else -1.0)
+                found.append((key, first.tolist(), m.tolist(), float(values[-1]), float(values[-2]) if len(m) > 1 else 0.0))
+            yield pd.DataFrame(found, columns=[by, "direction", "mean", "lambda1", "lambda2"])
 
     kind = rows.schema[by].dataType.simpleString()
-    return rows.select(by, vector).groupBy(by).applyInPandas(fit, f"{by} {kind}, direction array<double>, lambda1 double, lambda2 double")
+    return moments(rows, by, vector).mapInPandas(fit, f"{by} {kind}, direction array<double>, mean array<double>, lambda1 double, lambda2 double")
+
+
+def signed(directions: DataFrame, previous: DataFrame | None, by: str) -> DataFrame:
+    """Directions turned to agree with the previous epoch's, or with the mean where there is none."""
+    if previous is None:
+        held = directions.withColumn("_old", F.lit(None).cast("array<double>"))
+    else:
+        held = directions.join(previous.select(by, F.col("direction").alias("_old")), by, "left")
+    turn = dot(F.col("direction"), F.coalesce("_old", "mean")) < 0
+    return held.withColumn("direction", F.when(turn, F.transform("direction", lambda x: -x)).otherwise(F.col("direction"))).drop("_old")
+
+
+def stability(now: DataFrame, before: DataFrame, by: str) -> DataFrame:
+    """Mean distance of the directions from the epoch before (null where the layers differ) and mean eigengap."""
+    both = now.select(by, "direction", (F.col("lambda1") - F.col("lambda2")).alias("gap")).join(before.select(by, F.col("direction").alias("old")), by, "full")
+    far = norm(difference(F.col("direction"), F.col("old")))
+    whole = F.count("direction") == F.count("*")
+    return both.agg(F.when(whole & (F.count("old") == F.count("*")), F.avg(far)).alias("stability"), F.avg("gap").alias("gap"))
 
 
 def weighted_stability(cosines: DataFrame) -> DataFrame:
