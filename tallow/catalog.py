@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallow.queries import diagnosing, evaluating, gating, plans, texts
+from tallow.queries import diagnosing, evaluating, gating, plans, signalling, texts
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (gating, diagnosing, texts, plans, evaluating)
+MODULES = (gating, diagnosing, texts, plans, evaluating, signalling)
 
 
 def queries() -> dict[str, Query]:

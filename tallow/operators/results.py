@@ -75,19 +75,19 @@ def sign_flip(diffs: DataFrame, by: list[str], most: int = 12, draws: int = 20_0
 
     Over all 2^n sign masks up to ``most`` pairs; beyond, (1 + hits) / (1 + draws) of seeded draws.
     """
-    groups = diffs.groupBy(*by).agg(F.array_sort(F.collect_list("diff")).alias("d")).withColumn("n", F.size("d"))
-    last = F.when(F.col("n") <= most, F.pow(F.lit(2), F.least("n", F.lit(most))).cast("int")).otherwise(draws) - 1
+    groups = diffs.groupBy(*by).agg(F.array_sort(F.collect_list("diff")).alias("d")).withColumn("k", F.size("d"))
+    last = F.when(F.col("k") <= most, F.pow(F.lit(2), F.least("k", F.lit(most))).cast("int")).otherwise(draws) - 1
     masks = groups.withColumn("mask", F.explode(F.sequence(F.lit(0), last)))
 
     def flipped(i: Column) -> Column:
         drawn = F.pmod(F.xxhash64(F.lit(seed), "mask", i), F.lit(2)) == 1
-        return F.when(F.col("n") <= most, F.getbit("mask", F.least(i, F.lit(30))) == 1).otherwise(drawn)
+        return F.when(F.col("k") <= most, F.getbit("mask", F.least(i, F.lit(30))) == 1).otherwise(drawn)
 
     total = F.aggregate(F.transform("d", lambda x, i: F.when(flipped(i), -x).otherwise(x)), F.lit(0.0), lambda s, x: s + x)
     seen = F.aggregate("d", F.lit(0.0), lambda s, x: s + x)
-    hits, n = F.count_if(F.abs(total) >= F.abs(seen) - 1e-9), F.first("n")
-    p = F.when(n <= most, hits / F.count("*")).otherwise((1 + hits) / (1 + F.count("*")))
-    return masks.groupBy(*by).agg(n.alias("n"), F.first(seen / F.col("n")).alias("mean_diff"), p.alias("p"))
+    hits, k = F.count_if(F.abs(total) >= F.abs(seen) - 1e-9), F.first("k")
+    p = F.when(k <= most, hits / F.count("*")).otherwise((1 + hits) / (1 + F.count("*")))
+    return masks.groupBy(*by).agg(k.alias("n"), F.first(seen / F.col("k")).alias("mean_diff"), p.alias("p"))
 
 
 def holm(tests: DataFrame, p: str = "p", key: list[str] | None = None) -> DataFrame:

@@ -150,11 +150,12 @@ def perturb_last_number(spark, d):
 
 
 def corrupted_pool(spark, d):
-    return C.corrupt(view(spark, d, PAIRS), FR, 42).select("pool_id", "type", "partner_id", F.length("output").alias("n"))
+    shown = F.when(F.col("type") != "noisy", F.md5("output"))
+    return C.corrupt(view(spark, d, PAIRS), FR, 42).select("pool_id", "type", "partner_id", shown.alias("h"))
 
 
 def duplicated_pool(spark, d):
-    return C.append_duplicates(view(spark, d, PAIRS), 0.1, 42).select("pool_id", "cluster_id", F.length("output").alias("n"))
+    return C.append_duplicates(view(spark, d, PAIRS), 0.1, 42).select("pool_id", "cluster_id", F.md5("instruction").alias("h"))
 
 
 def oracle_pool(spark, d):
@@ -315,3 +316,20 @@ ORACLE_SQL = {
     "preamble_strip": f"WITH a AS ({ANSWERS}) SELECT id, {preamble_sql('answer')} AS rest, split_part(split_part(answer, ' or ', 1), '####', 1) AS cut FROM a",
     "task_answer_extract": f"WITH a AS ({ANSWERS}), e AS (SELECT id, answer, {strip_sql('coalesce(' + LINES.format(x='answer') + '[-1], ' + chr(39) * 2 + ')')} AS line FROM a), f AS (SELECT *, {strip_sql('regexp_replace(line, ' + sq('[.]+$') + ', ' + chr(39) * 2 + ')')} AS bare FROM e) SELECT id, coalesce({', '.join(explicit_sql('answer', c) for c in CUES)}, {', '.join(f'regexp_extract_all(line, {sq(p)}, 1)[1]' for p in X.LABELS)}, {last_sql('bare', '(-?[0-9]+(?:[.][0-9]+)?)')}, bare) AS found, {strip_sql('regexp_replace(regexp_replace(' + strip_sql('lower(answer)') + ', ' + sq('[^' + chr(92) + 'p{L}' + chr(92) + 'p{N}_' + chr(92) + 's()]') + ', ' + sq(' ') + ', ' + sq('g') + '), ' + sq(chr(92) + 's+') + ', ' + sq(' ') + ', ' + sq('g') + ')')} AS plain FROM f",
 }
+
+TYPED = ORACLE_SQL["corrupt_assign"].removeprefix("WITH ").replace(" SELECT pool_id, CASE WHEN wrong", ", typed AS (SELECT pool_id, CASE WHEN wrong") + ")"
+SHARE = "0.3::DOUBLE + 0.4::DOUBLE * " + U.format("'42:cut:' || pool_id")
+MOVED = f"""CASE WHEN contains(num, '.') THEN printf('%.2f', try_cast(num AS DOUBLE) + sign * greatest(1.0::DOUBLE, abs(try_cast(num AS DOUBLE)) * share)) ELSE cast(try_cast(num AS BIGINT) + sign * greatest(1, floor(abs(try_cast(num AS BIGINT)) * share)::BIGINT) AS VARCHAR) END"""
+JITTER = """CASE WHEN k < 0.25 THEN ' ' || x WHEN k < 0.5 THEN x || ' ' WHEN k < 0.75 AND x <> '' THEN CASE WHEN x[1:1] = upper(x[1:1]) THEN lower(x[1:1]) ELSE upper(x[1:1]) END || x[2:] ELSE regexp_replace(x, '^([^ ]*) ', '\\1  ') END"""
+
+ORACLE_SQL |= {
+    "corrupted_pool": f"""WITH {TYPED}, turn AS (SELECT pool_id, coalesce(lead(pool_id) OVER (ORDER BY md5('42:derange:' || pool_id), pool_id), first_value(pool_id) OVER (ORDER BY md5('42:derange:' || pool_id), pool_id)) AS partner FROM pairs),
+      a AS (SELECT t.pool_id, type, partner, x.output, y.output AS donor, {words_sql('x.output')} AS w, regexp_extract(x.output, {sq(NUMERIC)}, 1) AS head, regexp_extract(x.output, {sq(NUMERIC)}, 2) AS num, regexp_extract(x.output, {sq(NUMERIC)}, 3) AS tail FROM typed t JOIN turn USING (pool_id) JOIN pairs x ON x.pool_id = t.pool_id JOIN pairs y ON y.pool_id = partner),
+      b AS (SELECT *, {SHARE} AS cut, 0.1::DOUBLE + 0.4::DOUBLE * {U.format("'42:share:' || pool_id")} AS share, CASE WHEN {U.format("'42:up:' || pool_id")} < 0.5 THEN 1 ELSE -1 END AS sign FROM a), m AS (SELECT *, {MOVED} AS moved FROM b)
+      SELECT pool_id, type, CASE WHEN type = 'mismatch' THEN partner END AS partner_id, CASE type WHEN 'noisy' THEN NULL WHEN 'wrong_answer' THEN md5({PERTURBED}) WHEN 'mismatch' THEN md5(donor)
+        WHEN 'truncated' THEN md5(CASE WHEN len(w) < 3 THEN output ELSE regexp_replace(array_to_string(w[1:greatest(1, floor(len(w) * cut))::BIGINT], ' '), '[.!?;:,]+$', '') END) ELSE md5(output) END AS h FROM m""",
+    "duplicated_pool": f"""WITH {PAIR}, o AS (SELECT pool_id, instruction, row_number() OVER (ORDER BY md5('42:dup:' || pool_id), pool_id) AS place FROM pairs), p AS (SELECT * FROM o WHERE place <= greatest(1, floor((SELECT count(*) FROM pairs) * 0.1::DOUBLE))),
+      m AS (SELECT *, unnest(range(1, 3 + floor(3 * {U.format("'42:copies:' || pool_id")})::INT)) AS c FROM p), j AS (SELECT place, c, pool_id AS cluster_id, instruction AS x, {U.format("'42:jitter:' || pool_id || ':' || c")} AS u, {U.format("'42:kind:' || pool_id || ':' || c")} AS k FROM m)
+      SELECT (SELECT max(pool_id) FROM pairs) + row_number() OVER (ORDER BY place, c) AS pool_id, cluster_id, md5(CASE WHEN u < 0.5 THEN {JITTER} ELSE x END) AS h FROM j
+      UNION ALL SELECT pairs.pool_id, p.pool_id, md5(pairs.instruction) FROM pairs LEFT JOIN p ON p.pool_id = pairs.pool_id""",
+}

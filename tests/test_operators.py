@@ -6,8 +6,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tallow.functions import schemas
 from tallow.functions import text as X
-from tallow.operators import corruption, dedup, gate, results, scoring, selection
+from tallow.operators import corruption, dedup, gate, results, scoring, selection, vectors
+from tallow.plans import evaluators, schedules
 
 
 def column(spark, values, expression, kind="string"):
@@ -62,9 +64,17 @@ def test_completeness(spark):
 
 
 def test_answers(spark):
-    assert column(spark, ["The answer is 7. No, the answer is 1,200.", "#### 5", "3 then 4", "none"], X.predicted_number) == ["1,200", "5", "4", ""]
+    assert column(spark, ["The answer is 7. No, the answer is 1,200.", "#### 5", "3 then 4", "none"], X.predicted_number) == ["1,200.", "5", "4", ""]
     assert column(spark, ["so the answer is (C)", "(A) or (B)", "x"], X.choice_letter) == ["C", "B", None]
-    assert column(spark, ["I have 3 apples and 4 pears.", "none"], X.perturbed_number) == ["I have 3 apples and 5 pears.", None]
+    moved = column(spark, ["I have 3 apples and 4 pears.", "1.0", "none"], lambda x: X.perturbed_number(x, F.lit(0.1), F.lit(True)))
+    assert moved == ["I have 3 apples and 5 pears.", "2.00", None]
+    tasks = ["So the answer is (B) or so. More", "Answer: it is\nfalse", "well\nYes, of 3.", "all of\n12 or 14.", "plum.\n", ""]
+    assert column(spark, tasks, X.task_answer) == ["(B)", "it is", "Yes", "14", "plum", ""]
+    lines = ["- a", "• x", "iv) text", "1. ", "| a | b |", "Key: value", "Key:", "plain words", "   "]
+    assert column(spark, lines, X.is_structured_line) == [True, True, True, False, True, True, False, False, False]
+    assert column(spark, ["", "Paris", "and then the", "He said 'done.'", "a b c d", "x\n- item", "完了。"], X.is_complete) == [False, True, False, True, False, True, True]
+    assert column(spark, ["The answer is: Based on the text here, it is X ", "sure"], X.strip_preamble) == ["X", "sure"]
+    assert column(spark, ["do"], lambda x: X.prompt("mistral_instruct", x, F.lit(" "))) == ["<s>[INST] do [/INST] "]
 
 
 def test_corruption_is_seeded_and_disjoint(spark):
@@ -100,3 +110,96 @@ def test_integrity(spark):
         results.require_agreement(rows, ["k"], "v")
     with pytest.raises(results.IntegrityError):
         results.require_unit(rows, "v")
+
+
+def test_noise(spark):
+    text = "one two three four five six seven eight nine ten"
+    rows = spark.range(200).select("id", corruption.eda(F.lit(text), 3, F.col("id")).alias("e"), corruption.noisy(F.lit(text), 3, F.col("id"), F.lit("A foreign one. Or two!")).alias("n")).collect()
+    for r in rows:
+        words = r.e.split()
+        assert 1 <= len(words) < 10 and set(words) <= set(text.split()) and len(set(words)) == len(words)
+        assert len(r.n.split()) >= 2
+    assert 30 < sum("foreign" in r.n or "Or two!" in r.n for r in rows) < 90
+    assert column(spark, ["x", ""], lambda x: corruption.eda(x, 1, F.lit(1))) == ["x", ""]
+
+
+def test_replacement_must_exist(spark):
+    pool = spark.createDataFrame([(1, "a"), (2, "b")], "pool_id long, output string")
+    assert {r.pool_id: r.output for r in corruption.replaced(pool, pool.selectExpr("pool_id", "'new' AS text"), pool.filter("pool_id = 1")).collect()} == {1: "new", 2: "b"}
+    with pytest.raises(Exception, match="no replacement"):
+        corruption.replaced(pool, pool.selectExpr("pool_id", "'new' AS text").limit(0), pool).collect()
+
+
+def test_seeds_and_permutations(spark):
+    runs = spark.createDataFrame([("a", 1), ("a", 2), ("b", None)], "cell string, seed int")
+    assert results.require_distinct_seeds(runs, ["cell"]).count() == 3
+    for extra in (("a", 2), ("a", None), ("b", None)):
+        with pytest.raises(results.IntegrityError):
+            results.require_distinct_seeds(runs.union(spark.createDataFrame([extra], "cell string, seed int")), ["cell"])
+    diffs = spark.createDataFrame([("x", float(d)) for d in (1, 2, 3)] + [("y", 1.0 + i) for i in range(15)], "g string, diff double")
+    p = {r.g: r.p for r in results.sign_flip(diffs, ["g"]).collect()}
+    assert p["x"] == 0.25 and 0 < p["y"] < 0.01
+
+
+def test_guards(spark):
+    rows = spark.createDataFrame([(1, 1.0, 1.0, 1.0), (2, None, 2.0, 1.0)], "pool_id int, s double, f double, g double")
+    with pytest.raises(Exception, match="null"):
+        selection.gated_key(rows, "s", "f", "g").collect()
+    with pytest.raises(Exception, match="infinity"):
+        selection.top(rows.selectExpr("pool_id", "double('Infinity') AS s"), "s", 1).collect()
+    with pytest.raises(ValueError):
+        selection.top(rows, "f", 3, exact=True)
+    empty = spark.createDataFrame([], "pool_id long, pos long, tr double, cf double")
+    assert gate.gate(empty, gate.GateConfig()).count() == 0
+
+
+def test_principal_direction(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(300, 5)) @ np.diag([3, 1, 1, 0.5, 0.2]) + 1
+    rows = spark.createDataFrame([(i % 2, v.tolist()) for i, v in enumerate(x)], "g int, v array<double>").repartition(4)
+    for r in vectors.principal(rows, "g", "v").collect():
+        own = x[r.g :: 2]
+        values, found = np.linalg.eigh(np.cov(own, rowvar=False, bias=True))
+        assert abs(r.lambda1 - values[-1]) < 1e-9 and abs(abs(np.dot(r.direction, found[:, -1])) - 1) < 1e-9 and np.dot(r.direction, own.mean(axis=0)) >= 0
+    now = vectors.principal(rows, "g", "v")
+    turned = now.withColumn("direction", F.transform("direction", lambda y: -y))
+    back = vectors.stability(vectors.signed(now, turned, "g"), turned, "g").first()
+    assert back.stability == 0 and back.gap > 0
+    assert vectors.stability(now, turned.filter("g = 0"), "g").first().stability is None
+
+
+def test_evaluators(spark):
+    assert set(evaluators.REGISTRY) == {"gsm8k", "svamp", "mmlu", "mmlu_pro", "bbh", "tydiqa", "xquad", "mbpp", "humaneval"}
+    rows = spark.createDataFrame([("The answer is 7. No. The answer is 12.", "#### 12"), ("#### 5", "#### 6")], "response string, answer string")
+    assert evaluators.evaluate("gsm8k", rows).first().accuracy == 50
+    choices = spark.createDataFrame([("q", '["a", "b", "n/a"]', 1, None), ("r", '["a", "b"]', None, "a")], "question string, options string, answer_index int, answer string")
+    assert [(r.answer, r.category) for r in schemas.choice_rows(choices).orderBy("question").collect()] == [("B", "other"), ("A", "other")]
+    answers = spark.createDataFrame([('["a","b"]',), ('{"text": ["c"]}',), ("plain",)], "x string")
+    assert [r[0] for r in answers.select(schemas.answer_texts(answers, "x")).collect()] == [["a", "b"], ["c"], ["plain"]]
+    code = spark.createDataFrame([(7, "do", ["assert 1"], "import x")], "task_id int, prompt string, test_list array<string>, test_imports string")
+    assert schemas.code_rows(code).first().asDict() == {"task_id": "7", "text": "do", "code": None, "tests": ["assert 1"], "setup": "import x"}
+    qa = spark.createDataFrame([("q", ["a"], "en"), (None, ["a"], "en"), ("q", [], "xx")], "question string, answers array<string>, language string")
+    assert evaluators.audit_questions(qa, ("en",)) == ["questions are missing"]
+    with pytest.raises(results.IntegrityError):
+        evaluators.audit_questions(qa.filter("question IS NULL"))
+    mmlu = spark.createDataFrame([(["a", "b", "c", "d"], 3), (["a"], 0)], "choices array<string>, answer int")
+    assert evaluators.audit_choices(mmlu.limit(1)).count() == 1
+    with pytest.raises(results.IntegrityError):
+        evaluators.audit_choices(mmlu)
+
+
+def test_schedules():
+    assert schedules.layers("middle_to_last", 5) == [2, 3, 4] and schedules.layers([0, 4], 5) == [0, 4]
+    with pytest.raises(ValueError):
+        schedules.layers([5], 5)
+    assert schedules.preset("composite-20".replace("-", ""))["noisy"] == 0.05 and schedules.preset("grounded30")["mismatch"] == 0.15 and schedules.preset("pertype-noisy-10")["noisy"] == 0.1
+    assert schedules.shard_bounds(10, 3) == [(0, 3), (3, 7), (7, 10)]
+    with pytest.raises(ValueError):
+        schedules.recomputable({"c_trunc": 0.2}, {"c_trunc": 0.3})
+    assert schedules.calibration(None, {"scale": 1.0, "tau": 0.5}, {"scale": 2.0}, {"tau": 0.5})[0] == "reference"
+    with pytest.raises(ValueError):
+        schedules.calibration(None, {"scale": 1.0, "tau": 0.4}, None, {"tau": 0.5})
+    with pytest.raises(ValueError):
+        schedules.require_base_gate(2, "epoch_1")

@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from tallow.plans import configs
 from tallow.sources import readers
@@ -61,3 +62,55 @@ def test_stream_equals_batch(spark, tmp_path):
     query.awaitTermination()
     key = ["start", "event_type", "n"]
     assert sorted(map(tuple, spark.table("windows").select(key).collect())) == sorted(map(tuple, events.window_counts(source).select(key).collect()))
+
+
+def test_run_folders(spark, tmp_path):
+    from tallow.operators.results import IntegrityError
+    from tallow.sources import runs
+
+    for seed, value, limit in ((1, 60.0, None), (2, 62.0, None), (3, 64.0, 8)):
+        folder = tmp_path / "m" / f"seed{seed}" / "20240101_000000"
+        folder.mkdir(parents=True)
+        (folder / "a-gsm8k.json").write_text(json.dumps({"benchmark": "gsm8k", "accuracy": value}))
+        (folder / "a-eval_summary.json").write_text(json.dumps({"limit": limit, "summaries": [{"benchmark": "gsm8k", "accuracy": value}, {"benchmark": "bbh", "accuracy": 1.0}]}))
+        (folder / "_complete").write_text("")
+    (tmp_path / "m" / "seed2" / "20240101_000000" / "cfg.json").write_text(json.dumps({"seed": 7}))
+    root = str(tmp_path)
+    wanted = spark.createDataFrame([(f"{root}/m/seed{i}/20240101_000000",) for i in (1, 2)], "run string")
+    got = {(r.seed, r.benchmark): r.accuracy for r in runs.accuracies(spark, root, wanted).collect()}
+    assert got == {(1, "gsm8k"): 60.0, (1, "bbh"): 1.0, (7, "gsm8k"): 62.0, (7, "bbh"): 1.0}
+    with pytest.raises(IntegrityError, match="limited"):
+        runs.accuracies(spark, root)
+    with pytest.raises(IntegrityError, match="sealed"):
+        runs.accuracies(spark, root, spark.createDataFrame([(f"{root}/none",)], "run string"))
+    pins = spark.createDataFrame([("s", "m", "x", 1, "m/seed1/20240101_000000")], "set string, model string, method string, seed int, run_dir string")
+    assert runs.pinned(spark, root, pins).count() == 2
+    with pytest.raises(IntegrityError, match="another seed"):
+        runs.pinned(spark, root, pins.withColumn("seed", F.lit(9)))
+    (tmp_path / "m" / "seed1" / "20240101_000000" / "b-gsm8k.json").write_text(json.dumps({"benchmark": "gsm8k", "accuracy": 61.0}))
+    with pytest.raises(IntegrityError):
+        runs.accuracies(spark, root, wanted)
+    tags = spark.createDataFrame([("a", "1", "1"), ("a", "2", "1"), ("b", "1", None), ("b", "2", None)], "cell string, tag string, target string")
+    assert {r.cell: r.tag for r in runs.latest(tags, ["cell"], target="target").collect()} == {"a": "1", "b": "2"}
+    shards = [spark.createDataFrame([(i, "c") for i in part], "pool_id int, config string") for part in ((0, 1), (2,))]
+    assert runs.merged(shards, 3).count() == 3
+    with pytest.raises(IntegrityError):
+        runs.merged(shards, 4)
+
+
+def test_config_files(tmp_path, monkeypatch):
+    from tallow.plans import configs
+
+    (tmp_path / "base.json").write_text(json.dumps({"a": {"x": 1, "y": 2}, "p": "${oc.env:TALLOW_T,home}/d"}))
+    (tmp_path / "own.json").write_text(json.dumps({"defaults": "base.json", "a": {"y": 3}}))
+    assert configs.load(str(tmp_path / "own.json")) == {"a": {"x": 1, "y": 3}, "p": "home/d"}
+    monkeypatch.setenv("TALLOW_T", "there")
+    assert configs.load("own.json", (str(tmp_path),))["p"] == "there/d"
+    assert configs.override({"a": {"x": 1}}, "a.x=2.5", "b.c=True", "d=text") == {"a": {"x": 2.5}, "b": {"c": True}, "d": "text"}
+    with pytest.raises(configs.ConfigError):
+        configs.override({"a": 1}, "a.b=2")
+    (tmp_path / "loop.json").write_text(json.dumps({"defaults": ["loop.json"]}))
+    with pytest.raises(configs.ConfigError):
+        configs.load(str(tmp_path / "loop.json"))
+    with pytest.raises(configs.ConfigError):
+        configs.require_known({"a": 1, "b": 2}, {"a"})
