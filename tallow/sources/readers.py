@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallow.functions.schemas import answer_texts, first_column
+from tallow.sources.files import NoSuchFiles, globbed, resolved, split_files
+
 
 class SchemaError(ValueError):
     pass
@@ -19,20 +22,43 @@ SUFFIXES = {".parquet": "parquet", ".jsonl": "jsonl", ".ndjson": "jsonl", ".json
 
 
 def kind_of(spark: SparkSession, path: str) -> str:
-    """parquet, json (one list or object), jsonl, csv or text; files without a known suffix are sniffed."""
+    """parquet, json (one list or object), jsonl, csv or text; files without a known suffix are sniffed.
+
+    The first kilobytes are read by the file system, not the whole file.
+    """
+    first = globbed(spark, path)[:1]
+    if not first:
+        raise NoSuchFiles(path)
     name = path.removesuffix(".gz")
     for suffix, kind in SUFFIXES.items():
-        if name.endswith(suffix) and kind != "json":
-            return kind
-    first = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, 4096).alias("c")).first()
-    head = bytes(first["c"]) if first else b""
+        if name.endswith(suffix) and (kind != "json" or path.endswith(".gz")):
+            return "jsonl" if kind == "json" else kind
+    head = head_of(spark, first[0])
     if head.startswith(b"PAR1"):
         return "parquet"
     return "json" if head.removeprefix(b"\xef\xbb\xbf").lstrip()[:1] == b"[" else "jsonl"
 
 
+def head_of(spark: SparkSession, path: str, size: int = 4096) -> bytes:
+    """The first bytes of a file, or of a folder's first data file."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    system = target.getFileSystem(conf)
+    if system.getFileStatus(target).isDirectory():
+        inner = [p for p in globbed(spark, f"{path}/*") if p.rsplit("/", 1)[1][0] not in "_."]
+        return head_of(spark, inner[0], size) if inner else b""
+    stream = system.open(target)
+    try:
+        data = bytearray()
+        while len(data) < size and (b := stream.read()) >= 0:
+            data.append(b)
+        return bytes(data)
+    finally:
+        stream.close()
+
+
 def read_records(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """Records of a file, folder or glob; malformed JSON fails."""
+    """Records of a file, folder or glob; malformed JSON fails, and so does a path without files."""
     kind = kind_of(spark, path)
     reader = spark.read.schema(schema) if schema is not None else spark.read
     if kind in ("json", "jsonl"):
@@ -40,6 +66,23 @@ def read_records(spark: SparkSession, path: str, schema: T.StructType | None = N
     return reader.option("header", True).csv(path) if kind == "csv" else reader.format(kind).load(path)
 
 
+def read_in_order(spark: SparkSession, spec: str, schema: T.StructType | None = None) -> DataFrame:
+    """Records of all files that ``spec`` resolves to, with ``file`` and ``file_order`` (files by name)."""
+    paths = resolved(spark, spec)
+    order = F.array(*map(F.lit, paths))
+    out = None
+    for path in paths:  # files may be of several kinds
+        rows = read_records(spark, path, schema).withColumn("file", F.lit(path))
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    return out.withColumn("file_order", F.array_position(order, F.col("file")))
+
+
+def read_sharded(spark: SparkSession, folder: str, columns: tuple[str, ...] = ("instruction", "input", "output"), split: str = "train") -> DataFrame:
+    """The wanted columns of a folder of Parquet shards (those of ``split`` if it names any); nulls become empty."""
+    rows = spark.read.parquet(*split_files(spark, folder, split))
+    return require(rows, *columns).select(*columns).na.fill("")
+
+
 def require(rows: DataFrame, *columns: str) -> DataFrame:
     if missing := [c for c in columns if c not in rows.columns]:
         raise SchemaError(f"missing columns: {', '.join(missing)}")
@@ -54,7 +97,7 @@ def read_pool(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_split(spark: SparkSession, folder: str, split: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{split}-*.parquet")
+    return spark.read.parquet(*split_files(spark, folder, split))
 
 
 def split_of(path: Column) -> Column:
@@ -64,23 +107,35 @@ def split_of(path: Column) -> Column:
 
 
 def normalise_chat(rows: DataFrame) -> DataFrame:
-    """Records of several layouts as instruction, input, output: flat fields, or the first two turns of
-    conversations or messages (strings or structs with a value or content)."""
-    if {"instruction", "output"} <= set(rows.columns):
-        return rows.select("instruction", (F.col("input") if "input" in rows.columns else F.lit("")).alias("input"), "output").na.fill("")
-    if {"prompt", "response"} <= set(rows.columns):
-        return rows.select(F.col("prompt").alias("instruction"), F.lit("").alias("input"), F.col("response").alias("output")).na.fill("")
-    name = next((c for c in ("conversations", "messages") if c in rows.columns), None)
-    if name is None:
+    """Records of several layouts as instruction, input, output, each row by the first layout it has:
+    flat fields, a prompt and response, or the first two turns of conversations or messages (texts or
+    structs with a value or content)."""
+    own = set(rows.columns)
+
+    def text(name: str) -> Column:
+        return F.col(name).cast("string") if name in own else F.lit(None).cast("string")
+
+    layouts = []  # condition, instruction, input, output
+    for a, b in (("instruction", "output"), ("prompt", "response"), ("prompt", "completion"), ("question", "answer")):
+        if {a, b} <= own:
+            layouts.append((F.col(a).isNotNull() & F.col(b).isNotNull(), text(a), text("input") if a == "instruction" else F.lit(""), text(b)))
+    for name in ("conversations", "messages"):
+        if name in own:
+            element = rows.schema[name].dataType.elementType
+            field = next((f for f in ("value", "content") if isinstance(element, T.StructType) and f in element.names), None)
+            turns = [F.get(name, F.lit(i)) for i in (0, 1)]
+            first, second = [t[field] if field else t for t in turns]
+            layouts.append((F.size(name) > 0, first, F.lit(""), second))
+    if not layouts:
         raise SchemaError("no known layout")
-    element = rows.schema[name].dataType.elementType
-    field = next((f for f in ("value", "content") if isinstance(element, T.StructType) and f in element.names), None)
 
-    def turn(i: int) -> Column:
-        x = F.get(name, F.lit(i))
-        return F.coalesce(x[field] if field else x, F.lit(""))
+    def chosen(i: int) -> Column:
+        out = F.lit(None).cast("string")
+        for layout in reversed(layouts):
+            out = F.when(layout[0], layout[i]).otherwise(out)
+        return F.coalesce(out, F.lit(""))
 
-    return rows.select(turn(0).alias("instruction"), F.lit("").alias("input"), turn(1).alias("output"))
+    return rows.select(chosen(1).alias("instruction"), chosen(2).alias("input"), chosen(3).alias("output"))
 
 
 def joined_instruction(instruction: Column, given: Column) -> Column:
@@ -90,19 +145,70 @@ def joined_instruction(instruction: Column, given: Column) -> Column:
 SQUAD = "data array<struct<paragraphs:array<struct<context:string,qas:array<struct<id:string,question:string,answers:array<struct<text:string>>>>>>>>"
 
 
-def read_squad(spark: SparkSession, path: str, language: str | None = None) -> DataFrame:
-    """Nested question-answer files flattened; questions without answers get 'No answer'."""
-    rows = spark.read.schema(SQUAD).option("multiLine", True).json(path)
-    rows = rows.select(F.explode("data").alias("d")).select(F.explode("d.paragraphs").alias("p")).select("p.context", F.explode("p.qas").alias("q"))
-    answers = F.coalesce(F.transform("q.answers", lambda a: a["text"]), F.array().cast("array<string>"))
-    lang = F.lit(language) if language else F.regexp_extract("q.id", r"^([a-z]+)-", 1)
-    return rows.select("q.id", "q.question", "context", F.when(F.size(answers) == 0, F.array(F.lit("No answer"))).otherwise(answers).alias("answers"), lang.alias("language"))
+def read_squad(spark: SparkSession, path: str, language: str | None = None, empty: str | None = "No answer") -> DataFrame:
+    """Question-answer files as rows: nested paragraphs, or a list or lines of flat records; also Parquet.
+
+    Questions without answers get ``empty`` (None: no answer at all).
+    """
+    kind = kind_of(spark, path)
+    nested = kind != "parquet" and b'"paragraphs"' in head_of(spark, globbed(spark, path)[0], 1 << 16)
+    if nested:
+        rows = spark.read.schema(SQUAD).option("multiLine", True).json(path)
+        rows = rows.select(F.explode("data").alias("d")).select(F.explode("d.paragraphs").alias("p")).select("p.context", F.explode("p.qas").alias("q"))
+        rows = rows.select("q.id", "q.question", "context", F.coalesce(F.transform("q.answers", lambda a: a["text"]), F.array().cast("array<string>")).alias("answers"))
+    else:
+        flat = read_records(spark, path)
+        require(flat, "question")
+        answers = answer_texts(flat, "answers") if "answers" in flat.columns else F.array().cast("array<string>")
+        rows = flat.select(first_column(flat, "id", "qid").alias("id"), "question", first_column(flat, "context", "passage", "passage_text").alias("context"), answers.alias("answers"))
+    lang = F.lit(language) if language else F.coalesce(F.nullif(F.regexp_extract("id", r"^([a-z]+)-", 1), F.lit("")), F.lit("unknown"))
+    if empty is not None:
+        rows = rows.withColumn("answers", F.when(F.size("answers") == 0, F.array(F.lit(empty))).otherwise(F.col("answers")))
+    return rows.select("id", "question", "context", "answers", lang.alias("language"))
+
+
+def union_subjects(spark: SparkSession, root: str, split: str = "test") -> DataFrame:
+    """One table of per-subject folders, the folder's name in ``subject``."""
+    rows = spark.read.parquet(*globbed(spark, f"{root}/*/{split}-*.parquet"))
+    return rows.withColumn("subject", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2))
+
+
+def task_documents(rows: DataFrame, by: str, fields: tuple[str, ...] = ("input", "target")) -> DataFrame:
+    """by, json: one document {"examples": [...]} a task (a benchmark task is small)."""
+    each = F.struct(*fields)
+    return rows.groupBy(by).agg(F.to_json(F.struct(F.array_sort(F.collect_list(each)).alias("examples"))).alias("json"))
+
+
+def read_tasks(spark: SparkSession, path: str) -> DataFrame:
+    """task, input, target of JSON documents {"examples": [...]}, the task from the file's name."""
+    rows = spark.read.schema("examples array<struct<input:string,target:string>>").option("multiLine", True).json(path)
+    name = F.regexp_replace(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1), r"\.json$", "")
+    return rows.select(name.alias("task"), F.explode("examples").alias("e")).select("task", "e.input", "e.target")
+
+
+def read_code_tasks(spark: SparkSession, path: str) -> DataFrame:
+    """task_id, prompt, entry_point, test of a (zipped) JSONL file; a task that lacks one is an error."""
+    rows = require(spark.read.json(path), "task_id", "prompt", "entry_point", "test")
+    if n := rows.filter("task_id IS NULL OR prompt IS NULL OR entry_point IS NULL OR test IS NULL").count():
+        raise SchemaError(f"{n} tasks lack a field")
+    return rows.select("task_id", "prompt", "entry_point", "test")
 
 
 def fingerprint(spark: SparkSession, path: str) -> str:
-    """sha256 over the sorted sha256 of the files."""
-    rows = spark.read.format("binaryFile").load(path).select(F.sha2("content", 256).alias("h"))
-    return rows.agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256)).first()[0]
+    """sha256 of the sorted line hashes of text, or row hashes of Parquet: files are read in splits, whatever their size."""
+    if kind_of(spark, path) == "parquet":
+        rows = spark.read.parquet(path).select(F.sha2(F.to_json(F.struct("*")), 256).alias("h"))
+    else:
+        rows = spark.read.text(path).select(F.sha2("value", 256).alias("h"))
+    # a bounded number of parts, each an order-free digest of its rows
+    parts = rows.groupBy(F.substring("h", 1, 2).alias("part")).agg(F.count("*").alias("n"), *[F.sum(F.conv(F.substring("h", at, 8), 16, 10).cast("decimal(38,0)")).alias(f"s{at}") for at in (1, 9, 17, 25, 33, 41, 49, 57)])
+    return parts.agg(F.sha2(F.to_json(F.array_sort(F.collect_list(F.struct("*")))), 256)).first()[0]
+
+
+def same_corpus(spark: SparkSession, a: str, b: str) -> None:
+    """Pool and reference must come from one corpus."""
+    if fingerprint(spark, a) != fingerprint(spark, b):
+        raise SchemaError(f"{a} and {b} differ")
 
 
 def write_table(rows: DataFrame, path: str, identity: dict, partition_by: tuple[str, ...] = ()) -> None:

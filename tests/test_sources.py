@@ -114,3 +114,50 @@ def test_config_files(tmp_path, monkeypatch):
         configs.load(str(tmp_path / "loop.json"))
     with pytest.raises(configs.ConfigError):
         configs.require_known({"a": 1, "b": 2}, {"a"})
+
+
+def test_files_are_found(spark, tmp_path):
+    from tallow.sources import files
+
+    for name in ("train-0001-abc", "train-0000-abc", "valid-0000"):
+        (tmp_path / f"{name}.jsonl").write_text(json.dumps({"instruction": name, "output": "o"}) + "\n")
+    rows = readers.read_in_order(spark, f"{tmp_path}/train-*.jsonl").orderBy("file_order").collect()
+    assert [r.instruction for r in rows] == ["train-0000-abc", "train-0001-abc"]
+    assert len(files.resolved(spark, f"{tmp_path}/train-0000-other.json")) == 2
+    with pytest.raises(files.NoSuchFiles):
+        files.resolved(spark, f"{tmp_path}/none-*.json")
+    with pytest.raises(files.NoSuchFiles):
+        readers.read_records(spark, f"{tmp_path}/gone.json")
+    (tmp_path / "bad.jsonl").write_text('{"a": 1}\n\n{"a": \n{"a": 2}\n')
+    assert [r.line for r in files.bad_lines(spark, f"{tmp_path}/bad.jsonl").collect()] == [3]
+    for subject in ("a", "b", "c", "d"):
+        spark.createDataFrame([(subject, 1)], "question string, answer int").coalesce(1).write.parquet(str(tmp_path / "tmp" / subject))
+        (tmp_path / "mmlu" / subject).mkdir(parents=True)
+        part = next((tmp_path / "tmp" / subject).glob("part-*.parquet"))
+        part.rename(tmp_path / "mmlu" / subject / "test-00000.parquet")
+    assert sorted(r.subject for r in readers.union_subjects(spark, f"{tmp_path}/mmlu").collect()) == ["a", "b", "c", "d"]
+    assert files.lacking(spark, f"{tmp_path}/mmlu/a", ["dev-*|test-*", "train-*"]) == ["train-*"] and files.one_of_many(spark, f"{tmp_path}/mmlu/a", ["test-*"])
+    assert any(p.endswith("/mmlu/a") for p in files.suggestions(spark, str(tmp_path), ["test-00000.parquet"]))
+    assert readers.read_sharded(spark, f"{tmp_path}/mmlu/a", ("question",)).first().question == "a"
+
+
+def test_question_layouts(spark, tmp_path):
+    flat = [{"id": "en-1", "question": "q", "context": "c", "answers": {"text": ["x"], "answer_start": [0]}}, {"id": "7", "question": "p", "context": "c", "answers": {"text": [], "answer_start": []}}]
+    (tmp_path / "list.json").write_text(json.dumps(flat))
+    (tmp_path / "lines.jsonl").write_text("\n".join(map(json.dumps, flat)))
+    spark.read.option("multiLine", True).json(str(tmp_path / "list.json")).coalesce(1).write.parquet(str(tmp_path / "p.parquet"))
+    for name in ("list.json", "lines.jsonl", "p.parquet"):
+        got = {r.id: (r.answers, r.language) for r in readers.read_squad(spark, str(tmp_path / name), empty=None).collect()}
+        assert got == {"en-1": (["x"], "en"), "7": ([], "unknown")}
+    tasks = spark.createDataFrame([("t", "a", "b"), ("t", "c", "d")], "task string, input string, target string")
+    (tmp_path / "t.json").write_text(readers.task_documents(tasks, "task").first().json)
+    assert sorted(map(tuple, readers.read_tasks(spark, str(tmp_path / "t.json")).collect())) == [("t", "a", "b"), ("t", "c", "d")]
+    import gzip
+
+    with gzip.open(tmp_path / "code.jsonl.gz", "wt") as f:
+        f.write(json.dumps({"task_id": "1", "prompt": "p", "entry_point": "f", "test": "t"}) + "\n")
+    assert readers.read_code_tasks(spark, str(tmp_path / "code.jsonl.gz")).count() == 1
+    mixed = spark.createDataFrame([("i", "o", None), (None, None, ["q", "r"])], "instruction string, output string, conversations array<string>")
+    assert sorted(map(tuple, readers.normalise_chat(mixed).collect())) == [("i", "", "o"), ("q", "", "r")]
+    assert readers.fingerprint(spark, str(tmp_path / "lines.jsonl")) != readers.fingerprint(spark, str(tmp_path / "list.json"))
+    readers.same_corpus(spark, str(tmp_path / "p.parquet"), str(tmp_path / "p.parquet"))
