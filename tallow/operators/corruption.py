@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 
 from tallow.functions import text as X
 from tallow.functions.hashing import seeded, uniform
+from tallow.operators.ranks import numbered
 
 
 def length_bucket(rows: DataFrame, length: str, buckets: int, key: str = "pool_id") -> DataFrame:
     """Quantile bucket floor(place * B / n), places by (length, key)."""
-    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(length, key)) - 1
     n = rows.agg(F.count("*").alias("_n"))
-    return rows.crossJoin(F.broadcast(n)).withColumn("bucket", F.least(F.floor(place * buckets / F.col("_n")), F.lit(buckets - 1)).cast("int")).drop("_n")
+    placed = numbered(rows, [length, key], "_at").crossJoin(F.broadcast(n))
+    return placed.withColumn("bucket", F.least(F.floor(F.col("_at") * buckets / F.col("_n")), F.lit(buckets - 1)).cast("int")).drop("_n", "_at")
 
 
 def derange(rows: DataFrame, bucket: str, seed: int, key: str = "pool_id") -> DataFrame:
@@ -205,4 +206,4 @@ def append_duplicates(pool: DataFrame, share: float, seed: int, low: int = 2, hi
 def oracle_pool(pool: DataFrame, manifest: DataFrame) -> DataFrame:
     """The rows that the manifest does not list, renumbered in order."""
     kept = pool.join(manifest.select("pool_id"), "pool_id", "left_anti")
-    return kept.withColumn("new_id", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("pool_id")) - 1)
+    return numbered(kept, ["pool_id"], "new_id").withColumn("new_id", F.col("new_id").cast("int"))

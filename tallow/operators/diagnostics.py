@@ -5,15 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallow.operators.ranks import numbered, running
 from tallow.operators.scoring import rank01
 
 
 def average_precision(rows: DataFrame, score: str, label: str, key: str, by: list[str] | None = None) -> DataFrame:
     """Precision averaged over the positives in order of score; null without a positive."""
     by = by or []
-    order = Window.partitionBy(*(by or [F.lit(0)])).orderBy(F.desc(score), key)
-    upto = F.sum(label).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    ranked = rows.select(*by, label, (upto / F.row_number().over(order)).alias("p"))
+    if by:
+        order = Window.partitionBy(*by).orderBy(F.desc(score), key)
+        placed = rows.withColumns({"_upto": F.sum(label).over(order.rowsBetween(Window.unboundedPreceding, 0)), "_at": F.row_number().over(order)})
+    else:
+        placed = running(rows.select(score, label, key), [F.desc(score), F.col(key)], {"_upto": F.col(label), "_at": F.lit(1)})
+    ranked = placed.select(*by, label, (F.col("_upto") / F.col("_at")).alias("p"))
     found = ranked.groupBy(*by) if by else ranked.groupBy()
     return found.agg(F.avg(F.when(F.col(label) == 1, F.col("p"))).alias("ap"), F.sum(label).alias("positives"))
 
@@ -39,8 +43,12 @@ def cluster_fraction(rows: DataFrame, cluster: str) -> DataFrame:
 
 
 def length_bias(rows: DataFrame, length: str, score: str, label: str, key: str, bins: int = 5) -> DataFrame:
-    b = F.ntile(bins).over(Window.partitionBy(F.lit(0)).orderBy(length, key))
-    return rows.withColumn("bin", b).groupBy("bin").agg(
+    # the first n mod bins bins hold one row more
+    placed = numbered(rows, [length, key], "_at").crossJoin(F.broadcast(rows.agg(F.count("*").alias("_n"))))
+    each, more = F.floor(F.col("_n") / bins), F.col("_n") % bins
+    large = more * (each + 1)
+    b = F.when(F.col("_at") < large, F.floor(F.col("_at") / (each + 1))).otherwise(more + F.floor(F.try_divide(F.col("_at") - large, each))) + 1
+    return placed.withColumn("bin", b.cast("int")).groupBy("bin").agg(
         F.count("*").alias("n"), F.min(length).alias("min_len"), F.max(length).alias("max_len"), F.avg(length).alias("mean_len"),
         F.avg(score).alias("mean_score"), F.avg((F.col(score) <= 0).cast("double")).alias("zero_rate"), F.avg(label).alias("dirty_rate"),
     )
@@ -85,7 +93,6 @@ def floor_block(rows: DataFrame, score: str, label: str) -> DataFrame:
 
 def nearest_rank(rows: DataFrame, value: str, key: str, shares: list[float]) -> DataFrame:
     """Percentiles by nearest rank: the value at position floor(q n)."""
-    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(value, key)) - 1
-    ranked = rows.select(F.col(value).alias("value"), place.alias("_at")).crossJoin(F.broadcast(rows.agg(F.count("*").alias("_n"))))
+    ranked = numbered(rows.select(F.col(value).alias("value"), F.col(key).alias("_key")), ["value", "_key"], "_at").crossJoin(F.broadcast(rows.agg(F.count("*").alias("_n"))))
     wanted = F.explode(F.array(*map(F.lit, shares))).alias("share")
     return ranked.select("*", wanted).filter(F.col("_at") == F.least(F.floor(F.col("share") * F.col("_n")), F.col("_n") - 1)).select("share", "value")

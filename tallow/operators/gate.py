@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallow.operators.ranks import percentiles, running
 from tallow.plans.checkpoints import cut
 
 EPS = 1e-8
@@ -133,9 +134,12 @@ def scale(rows: DataFrame, pct: float, target: float) -> DataFrame:
     import math
 
     logit = math.log((1 + target) / (1 - target))
-    q = F.percentile("delta_hat", pct)
-    median = F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY delta_hat) FILTER (WHERE delta_hat > 0)")
-    return rows.agg(q.alias("q"), median.alias("med")).select(F.when(F.col("q") > 0, F.col("q") / logit).when(F.col("med") > 0, F.col("med") / logit).otherwise(F.lit(1.0)).alias("s"))
+    # exact, by the values' places: no task holds them all
+    q = percentiles(rows, "delta_hat", [pct]).agg(F.max("value").alias("q"))
+    positive = rows.filter("delta_hat > 0").groupBy("delta_hat").agg(F.count("*").alias("n"))
+    half = positive.agg((F.sum("n") / 2).alias("half"))
+    median = running(positive, ["delta_hat"], {"upto": F.col("n")}).crossJoin(F.broadcast(half)).filter("upto >= half").agg(F.min("delta_hat").alias("med"))
+    return q.crossJoin(median).select(F.when(F.col("q") > 0, F.col("q") / logit).when(F.col("med") > 0, F.col("med") / logit).otherwise(F.lit(1.0)).alias("s"))
 
 
 def sigmoid_gate(delta_hat: Column, s: Column) -> Column:

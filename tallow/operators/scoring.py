@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallow.operators.ranks import numbered, running
+
 EPS = 1e-8
 
 
@@ -39,9 +41,13 @@ def rank01(rows: DataFrame, column: str, out: str, by: list[str] | None = None)
     value, and ties cost nothing. A null has no rank (null) and counts for no other's.
     """
     by = by or []
-    groups = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     counts = rows.filter(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count("*").alias("_n"))
-    ranked = counts.select(*by, F.col(column).alias("_v"), F.col("_n"), F.sum("_n").over(groups.orderBy(column)).alias("_upto"), F.sum("_n").over(groups).alias("_all"))
+    if by:
+        groups = Window.partitionBy(*by)
+        ranked = counts.withColumns({"_upto": F.sum("_n").over(groups.orderBy(column)), "_all": F.sum("_n").over(groups)})
+    else:
+        ranked = with_row(running(counts, [column], {"_upto": F.col("_n")}), counts.agg(F.sum("_n").alias("_all")))
+    ranked = ranked.select(*by, F.col(column).alias("_v"), "_n", "_upto", "_all")
     mid = ranked.select(
         *[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)],
         "_v",
@@ -56,8 +62,8 @@ def rank01(rows: DataFrame, column: str, out: str, by: list[str] | None = None)
 def rank01_positional(rows: DataFrame, column: str, key: str, out: str) -> DataFrame:
     """Ranks by (value, key) scaled to [0, 1]."""
     n = rows.agg(F.count("*").alias("_all"))
-    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(column, key)) - 1
-    return with_row(rows, n).withColumn(out, F.when(F.col("_all") == 1, 0.5).otherwise(place / (F.col("_all") - 1))).drop("_all")
+    placed = with_row(numbered(rows, [column, key], "_at"), n)
+    return placed.withColumn(out, F.when(F.col("_all") == 1, 0.5).otherwise(F.col("_at") / (F.col("_all") - 1))).drop("_all", "_at")
 
 
 def legacy_score(reward: Column, align: Column, lam: float) -> Column:

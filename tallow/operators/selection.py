@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallow.functions.hashing import seeded
+from tallow.operators.ranks import numbered
 from tallow.operators.scoring import rank01
 
 
@@ -54,5 +55,4 @@ def range_top(rows: DataFrame, column: str, low: float, high: float, k: int, key
 
 def length_batches(rows: DataFrame, length: str, size: int, key: str = "pool_id") -> DataFrame:
     """Batches of equal size, longest rows first."""
-    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc(length), key)) - 1
-    return rows.withColumn("batch", F.floor(place / size))
+    return numbered(rows, [F.desc(length), F.col(key)], "batch").withColumn("batch", F.floor(F.col("batch") / size))

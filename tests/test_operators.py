@@ -203,3 +203,22 @@ def test_schedules():
         schedules.calibration(None, {"scale": 1.0, "tau": 0.4}, None, {"tau": 0.5})
     with pytest.raises(ValueError):
         schedules.require_base_gate(2, "epoch_1")
+
+
+def test_places_are_those_of_one_sort(spark, monkeypatch):
+    import numpy as np
+
+    from tallow.operators import ranks
+
+    monkeypatch.setattr(ranks, "SMALL", 10)
+    rng = random.Random(4)
+    values = [float(rng.randrange(40)) for _ in range(3000)]
+    rows = spark.createDataFrame(list(enumerate(values)), "i long, x double").repartition(5)
+    got = [(r.i, r.at, r.s) for r in ranks.running(rows, ["x", "i"], {"at": F.lit(1), "s": F.col("x")}).orderBy("at").collect()]
+    order = sorted(range(3000), key=lambda i: (values[i], i))
+    assert [i for i, _, _ in got] == order and [a for _, a, _ in got] == list(range(1, 3001))
+    assert np.allclose([s for _, _, s in got], np.cumsum([values[i] for i in order]))
+    found = {r.share: r.value for r in ranks.percentiles(rows, "x", [0.0, 0.1, 0.333, 0.5, 1.0]).collect()}
+    assert all(abs(found[q] - np.quantile(values, q)) < 1e-9 for q in found) and len(found) == 5
+    assert ranks.percentiles(rows.limit(0), "x", [0.5]).count() == 0
+    assert [r.r for r in scoring.rank01(rows, "x", "r").orderBy("i").limit(5).collect()] == pytest.approx([(sum(v < x for v in values) + (values.count(x) - 1) / 2) / 2999 for x in values[:5]])
