@@ -19,12 +19,16 @@ import os
 from array import array
 from collections.abc import Iterable, Iterator
 
+import numpy as np
+
 from tallow.llm.words import slices
 
 VOCABULARY = "word_bpe_49k.json"
 
 #: Chunks kept per generation of the memo; two generations are alive at most.
 MEMO_WORDS = 600_000
+#: Unseen words that are encoded as one text.
+JOINED = 128
 #: Bytes of text whose chunks are held as Python objects at once.
 SLICE_BYTES = 2 << 20
 
@@ -55,20 +59,32 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.added = tuple(x.content.encode().translate(LOWER) for x in self.tokenizer.get_added_tokens_decoder().values())
+        self.mark = next(((x.content, i) for i, x in sorted(self.tokenizer.get_added_tokens_decoder().items()) if not (x.lstrip or x.rstrip or x.normalized or x.single_word) and self.tokenizer.encode(x.content, add_special_tokens=False).ids == [i]), None)
         self.memo_words = memo_words
         self.young: dict[bytes, bytes] = {b"": b""}
         self.old: dict[bytes, bytes] = {}
         self.endings = {end: self._encode([end])[0] for end in (".", ",")}
 
     def _encode(self, words: list[str]) -> list[bytes]:
-        return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        """Ids of each word. Words go through the library joined by an added token, which parts
+        texts before anything else is done to them; words that hold one go by themselves."""
+        mark = self.mark
+        if not mark or any(mark[0] in w for w in words):
+            return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        texts = [mark[0].join(words[at : at + JOINED]) for at in range(0, len(words), JOINED)]
+        out: list[bytes] = []
+        for found in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
+            data = array("I", found.ids).tobytes()
+            cuts = 4 * np.flatnonzero(np.frombuffer(data, np.uint32) == mark[1])
+            out += [data[a:b] for a, b in zip([0, *(cuts + 4).tolist()], [*cuts.tolist(), len(data)])]
+        return out
 
     def _known(self, words: set[bytes]) -> set[bytes]:
         """Moves what the old generation knows to the young one; the words that neither knows."""
         young, old = self.young, self.old
-        missing = {w for w in words if w not in young}
+        missing = words.difference(young)
         if old and missing:
-            known = {w for w in missing if w in old}
+            known = missing.intersection(old)
             young.update((w, old[w]) for w in known)
             missing -= known
         return missing
