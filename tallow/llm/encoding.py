@@ -20,6 +20,8 @@ from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from tallow.llm.words import slices
 
@@ -111,29 +113,41 @@ class Encoder:
             self.old, self.young = self.young, {b"": b""}
 
     def encode_all(self, texts: Iterable[str | None]) -> Iterator[bytes]:
-        group: list[list[bytes]] = []
+        group: list[bytes] = []
         held = 0
         for text in texts:
             data = chunked(text or "", self.added)
             if len(data) > SLICE_BYTES:
                 yield from self._flush(group)
                 group, held = [], 0
-                yield b"".join(next(self._flush([s.split(b" ")])) for s in slices(data))
+                yield b"".join(next(self._flush([s])) for s in slices(data))
                 continue
-            group.append(data.split(b" "))
+            group.append(data)
             held += len(data)
             if held > SLICE_BYTES:
                 yield from self._flush(group)
                 group, held = [], 0
         yield from self._flush(group)
 
-    def _flush(self, group: list[list[bytes]]) -> Iterator[bytes]:
-        if group:
-            self._turn()
-            self._learn(set().union(*group))
-            get = self.young.__getitem__
-            for words in group:
-                yield b"".join(map(get, words))
+    def _flush(self, group: list[bytes]) -> Iterator[bytes]:
+        """Ids of each text. Arrow splits the texts and numbers their distinct words; ids are gathered by number."""
+        if not group:
+            return
+        self._turn()
+        lists = pc.split_pattern(pa.array(group, pa.binary()), " ")
+        numbered = lists.flatten().dictionary_encode()
+        words, at = numbered.dictionary.to_pylist(), numbered.indices.to_numpy()
+        self._learn(set(words))
+        found = list(map(self.young.__getitem__, words))
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        blob = np.frombuffer(b"".join(found), np.uint32)
+        starts = np.cumsum(sizes) - sizes
+        ends = np.cumsum(sizes[at])
+        begins = ends - sizes[at]
+        ids = blob[np.repeat(starts[at] - begins, sizes[at]) + np.arange(ends[-1] if len(ends) else 0)]
+        bounds = np.concatenate([[0], ends])[lists.offsets.to_numpy()].tolist()
+        for i, j in zip(bounds, bounds[1:]):
+            yield ids[i:j].tobytes()
 
 
 _ENCODERS: dict[str, Encoder] = {}
