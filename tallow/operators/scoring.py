@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallow.operators.ranks import numbered, running
+from tallow.plans.checkpoints import cut
 
 EPS = 1e-8
 
@@ -38,9 +39,10 @@ def rank01(rows: DataFrame, column: str, out: str, by: list[str] | None = None)
     """Mid-ranks scaled to [0, 1]; 0.5 for one row.
 
     Ranks are summed over the distinct values of each group, not over its rows: rows meet by
-    value, and ties cost nothing. A null has no rank (null) and counts for no other's.
+    value, and ties cost nothing. A null has no rank (null) and counts for no other's. The rows
+    are evaluated once: a sum in another order may differ by a bit, and would not meet its rank.
     """
-    by = by or []
+    by, rows = by or [], cut(rows)
     counts = rows.filter(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count("*").alias("_n"))
     if by:
         groups = Window.partitionBy(*by)

@@ -222,3 +222,10 @@ def test_places_are_those_of_one_sort(spark, monkeypatch):
     assert all(abs(found[q] - np.quantile(values, q)) < 1e-9 for q in found) and len(found) == 5
     assert ranks.percentiles(rows.limit(0), "x", [0.5]).count() == 0
     assert [r.r for r in scoring.rank01(rows, "x", "r").orderBy("i").limit(5).collect()] == pytest.approx([(sum(v < x for v in values) + (values.count(x) - 1) / 2) / 2999 for x in values[:5]])
+
+
+def test_rank01_evaluates_its_rows_once(spark):
+    """A value that another evaluation would give differently still meets its rank."""
+    unstable = F.udf(lambda i: i + random.random(), "double").asNondeterministic()
+    ranked = scoring.rank01(spark.range(50).select("id", unstable("id").alias("x")), "x", "r")
+    assert [round(r.r, 9) for r in ranked.orderBy("id").collect()] == [round(i / 49, 9) for i in range(50)]
