@@ -4,18 +4,20 @@ Items are sets of hashes; those of a Jaccard similarity of ``TIMES / OF`` (0.8)
 linked, and components of links are the groups. ``BANDS`` bands of ``ROWS`` minima put a pair
 of similarity 0.8 into a common bucket with probability 0.9994 (1 - (1 - 0.8 ** 4) ** 14).
 
-In a bucket an item meets two others only, so that n items cost 2n comparisons, not n
-squared: the first item of the bucket and the one before it. Pairs are verified by the exact
-similarity and united, at first one pair an item (which joins most of a large group), then the
-others that still lie in different components. In buckets that then hold several components
-each item meets the ``CENTRES`` most central items: those whose own buckets hold most, since
-what many resemble is the likeliest to resemble an outlier too.
-
-So a pair is missed where no band has it, or where no central item of a crowded bucket
-connects it. With ``exhaustive`` the second loss goes: two similar sets share
-``SHARED`` hashes at least among the rarest fifth and ``SHARED`` more of each (prefix filter),
-and all pairs of different components that share so many are verified. Its cost grows with the
-square of a family of sets that are alike and yet under the similarity.
+At first an item of a bucket meets two others only, so that a large group of similar items is
+united by 2n comparisons, not n squared: the first item of the bucket and the one before it.
+Pairs are verified by the exact similarity and united, at first one pair an item (which joins
+most of a large group), then the others that still lie in different components.
+
+In buckets that then hold several components all pairs of different components are compared
+(``close_pairs``), so that no pair of a common bucket is missed: by sketches that rule out only
+pairs that cannot be similar, inside the join, and exactly where they do not. Only that many comparisons
+of sketches grow with the square of a family of sets that are alike and yet under the similarity.
+
+So a pair is missed where no band has it alone. With ``exhaustive`` such pairs among the items of
+buckets that hold several components are found too: two similar sets share ``SHARED`` hashes
+at least among the rarest fifth and ``SHARED`` more of each (prefix filter), and all pairs of different
+components that share so many are verified.
 
 Hot buckets (more than about ``HOT_SEEN`` of ``HOT_SAMPLE`` items; found in a sample, which steers
 the cost and not the result) are not gathered in one task: their first and last item are found by
@@ -38,8 +40,8 @@ BANDS, ROWS = 14, 4
 #: Minima are taken of multiples of a 31-bit hash, modulo 2 ** 46.
 MASK = (1 << 46) - 1
 HOT_SAMPLE, HOT_SEEN, HOT_LEAST = 200_000, 32, 256
-#: Items of a bucket that all others in it are compared with.
-CENTRES = 32
+#: Words of 64 bits of an item's sketch (a power of two); items of a bucket that one task compares with the others.
+WORDS, BLOCK = 16, 1024
 #: Rare hashes that a similar pair must share; smaller sets must share as many as they can.
 SHARED = 8
 #: Items of the sample that finds frequent shingles, how many of them hold one, and how many such are sent out at most.
@@ -113,7 +115,10 @@ def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def frequent(items: DataFrame) -> DataFrame:
-    """x, n: hashes that many items of a sample hold; bounded, to be broadcast."""
+    """x, seen: hashes that many items of a sample hold; bounded, to be broadcast.
+
+    It orders the prefixes alone: a hash that is not among them counts as rare, and any order finds the same pairs.
+    """
     every = max(1, items.count() // SAMPLE)
     sample = items.filter(F.pmod(F.xxhash64("h", F.lit(2)), F.lit(every)) == 0).select(F.explode("set").alias("x"))
     return sample.groupBy("x").agg(F.count("*").alias("seen")).filter(F.col("seen") >= FREQUENT).orderBy(F.desc("seen"), "x").limit(HELD)
@@ -126,14 +131,37 @@ def still_open(rows: DataFrame, roots: DataFrame) -> DataFrame:
     return held.join(several, "key", "left_semi")
 
 
-def centres(held: DataFrame) -> DataFrame:
-    """a, b: each item and the most central ones of other components in its buckets."""
-    sizes = held.groupBy("key").agg(F.count("*").alias("size"))
-    score = held.join(sizes, "key").groupBy("h").agg(F.sum("size").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("score"), "h"))
-    best = held.join(score, "h").withColumn("rank", rank).filter(F.col("rank") <= CENTRES)
-    best = best.select("key", F.col("h").alias("centre"), F.col("root").alias("other"))
-    return held.join(best, (held["key"] == best["key"]) & (F.col("other") != F.col("root"))).select(*ordered("h", "centre")).distinct()
+def sketches(items: DataFrame, to_hashes: Callable[[Column], Column]) -> DataFrame:
+    """h, n and ``WORDS`` words of a parity sketch: bit x mod 64 * WORDS is odd where the set holds an odd number of such x.
+
+    Two sketches differ in the sketch of the sets' symmetric difference, so in no more bits than it has members.
+    """
+    rows = items.select("h", "n", F.explode(F.array_distinct(to_hashes(F.col("side")))).alias("x"))
+    word = F.shiftright("x", 6).bitwiseAND(F.lit(WORDS - 1))
+    bit = F.expr("shiftleft(1L, cast(x & 63 AS int))")
+    return rows.groupBy("h").agg(F.first("n").alias("n"), *[F.bit_xor(F.when(word == i, bit).otherwise(F.lit(0).cast("long"))).alias(f"w{i}") for i in range(WORDS)])
+
+
+def close_pairs(held: DataFrame, sides: DataFrame, to_hashes: Callable[[Column], Column], scratch: Scratch) -> DataFrame:
+    """a, b: all pairs of a bucket in different components, without those whose sketches rule out a link.
+
+    Items of the bucket's largest component meet only those outside it. Buckets of more than
+    ``BLOCK`` items are dealt out in blocks. The join's condition compares, so that only pairs
+    that are (nearly always) to be linked become rows.
+    """
+    sketched = scratch.table(sketches(held.select("h").distinct().join(sides, "h"), to_hashes), "sketches")
+    largest = held.groupBy("key", "root").agg(F.count("*").alias("m")).groupBy("key")
+    largest = largest.agg(F.max(F.struct("m", "root"))["root"].alias("main"), F.ceil(F.sum("m") / BLOCK).cast("int").alias("blocks"))
+    rows = held.join(largest, "key").join(sketched, "h").withColumn("inside", F.col("root") == F.col("main")).drop("main")
+    one = rows.filter("NOT inside").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks", "inside")
+    other = rows.withColumn("block", F.pmod(F.xxhash64("h", F.lit(3)), F.col("blocks")).cast("int")).drop("blocks")
+    a, b = (df.select(*[F.col(c).alias(f"{c}_{side}") for c in df.columns]) for df, side in ((one, "a"), (other, "b")))
+    n_a, n_b = F.col("n_a"), F.col("n_b")
+    once = (F.col("root_a") != F.col("root_b")) & (F.col("inside_b") | (F.col("h_a") < F.col("h_b")))
+    sizes = (OF * n_a >= TIMES * n_b) & (OF * n_b >= TIMES * n_a)
+    unlike = sum((F.bit_count(F.col(f"w{i}_a").bitwiseXOR(F.col(f"w{i}_b"))) for i in range(1, WORDS)), F.bit_count(F.col("w0_a").bitwiseXOR(F.col("w0_b"))))
+    met = a.join(b, (F.col("key_a") == F.col("key_b")) & (F.col("block_a") == F.col("block_b")) & once & sizes & ((OF + TIMES) * unlike <= (OF - TIMES) * (n_a + n_b)))
+    return met.select(*ordered("h_a", "h_b")).distinct()
 
 
 def least_overlap(n: Column) -> Column:
@@ -204,8 +232,8 @@ def groups(
     meet(first.distinct(), "first")
     rest = rows.select("h", F.explode(F.array("head", "before")).alias("other")).filter("h <> other").select(*ordered("h", "other"))
     meet(rest.distinct(), "rest")
-    held = scratch.table(still_open(rows, roots), "open-centres")
-    meet(centres(held), "centres")
+    held = scratch.table(still_open(rows, roots), "open-buckets")
+    meet(close_pairs(held, sides, to_hashes, scratch), "close")
     if exhaustive:
         held = scratch.table(still_open(rows, roots), "open")
         meet(open_pairs(held, sides, to_hashes, scratch), "all")

@@ -10,7 +10,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallow.llm import decontaminate, html, language, lines, packing, perfect_hash, quality, sharding, simhash, token_files, warc
+from tallow.llm import decontaminate, html, language, lines, packing, perfect_hash, quality, resemblance, sharding, simhash, token_files, warc
+from tallow.llm.common import Scratch
 from tallow.llm.encoding import Encoder, default_vocabulary
 
 SF = "/root/testdata/sf0.001"
@@ -445,3 +446,22 @@ def test_gaps_are_logged_and_the_rest_is_returned(spark, tmp_path, monkeypatch):
     manifest = warc.write_archives(warc.with_references(pages), folder)
     back = warc.read_archives(manifest, folder, 1).collect()
     assert sorted(r.page_id for r in back if r.page_id is not None) == list(range(5)) and sum(r.gap_end - r.gap_start for r in back if r.reason) == 30
+
+
+@pytest.mark.parametrize("block", [1024, 32])
+def test_no_pair_of_a_bucket_is_lost(spark, monkeypatch, block):
+    """Pairs of similar sets, and a large group, in one bucket full of sets that are alike and yet under 0.8."""
+    monkeypatch.setattr(resemblance, "BLOCK", block)
+    rng = random.Random(11)
+    word = lambda: rng.getrandbits(64) - (1 << 63)
+    family = [word() for _ in range(72)]
+    rows, expected = [], []
+    for size in [2] * 130 + [60]:
+        own = [word() for _ in range(28)]
+        group = [rng.getrandbits(48) for _ in range(size)]
+        rows += [(h, [*family, *own, *(word() for _ in range(9))]) for h in group]
+        expected += [(h, min(group)) for h in group]
+    sides = spark.createDataFrame([(h, s, len(s)) for h, s in rows], "h long, side array<long>, n int")
+    signed = spark.createDataFrame([(h, [5, 6]) for h, _ in rows], "h long, keys array<long>")
+    roots = resemblance.groups(spark, signed, lambda wanted: sides.join(wanted, "h"), lambda side: side, Scratch(spark, "family"))
+    assert sorted((r.node, r.root) for r in roots.collect()) == sorted(expected)
