@@ -26,14 +26,19 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 
 @contextmanager
-def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
-    """Spark drops the shuffle files of what is executed here as soon as it has ended."""
-    before = spark.conf.get(CLEAN_UP)
-    spark.conf.set(CLEAN_UP, "true")
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """A setting of Spark for what is executed here."""
+    before = spark.conf.get(name)
+    spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(CLEAN_UP, before)
+        spark.conf.set(name, before)
+
+
+def shuffles_dropped(spark: SparkSession):
+    """Spark drops the shuffle files of what is executed here as soon as it has ended."""
+    return setting(spark, CLEAN_UP, "true")
 
 
 class Scratch:

@@ -3,6 +3,10 @@
 Items are sets of hashes; those of a Jaccard similarity of ``TIMES / OF`` (0.8) or more are
 linked, and components of links are the groups. ``BANDS`` bands of ``ROWS`` minima put a pair
 of similarity 0.8 into a common bucket with probability 0.9994 (1 - (1 - 0.8 ** 4) ** 14).
+Large sets need fewer minima for that (``dealt_keys``): their hashes are dealt into ``PARTS``
+parts and ``EACH`` minima are taken of each part, so that a hash meets four factors, not 56; a
+band is one minimum of each of four parts. A pair of 0.8 and ``DEALT`` hashes or more has none of
+these bands in common with probability 0.0005 at most (0.00024 from 150 hashes on).
 
 At first an item of a bucket meets two others only, so that a large group of similar items is
 united by 2n comparisons, not n squared: the first item of the bucket and the one before it.
@@ -37,6 +41,9 @@ from tallow.llm.graph import connected_components
 #: Jaccard 0.8 as a fraction.
 TIMES, OF = 4, 5
 BANDS, ROWS = 14, 4
+#: Hashes of a set from which on its parts have minima; up to which the whole set (also) has.
+DEALT, WHOLE = 80, 112
+PARTS, EACH = 16, 4
 #: Minima are taken of multiples of a 31-bit hash, modulo 2 ** 46.
 MASK = (1 << 46) - 1
 HOT_SAMPLE, HOT_SEEN, HOT_LEAST = 200_000, 32, 256
@@ -57,9 +64,9 @@ def multipliers() -> list[int]:
     return factors
 
 
-def minima(x: Column) -> list[Column]:
+def minima(x: Column, count: int = BANDS * ROWS) -> list[Column]:
     """Aggregates over hashes ``x`` (long, 31 bits): the least product under each factor."""
-    return [F.min((x * F.lit(a)).bitwiseAND(F.lit(MASK))).alias(f"m{i}") for i, a in enumerate(multipliers())]
+    return [F.min((x * F.lit(a)).bitwiseAND(F.lit(MASK))).alias(f"m{i}") for i, a in enumerate(multipliers()[:count])]
 
 
 def band_keys() -> Column:
@@ -67,6 +74,30 @@ def band_keys() -> Column:
     return F.array(*[F.xxhash64(F.lit(i), *[F.col(f"m{ROWS * i + j}") for j in range(ROWS)]) for i in range(BANDS)])
 
 
+def whole_keys(hashes: DataFrame) -> DataFrame:
+    """h, keys of rows h, x: the bands of minima over the whole set."""
+    return hashes.groupBy("h").agg(*minima(F.col("x"))).select("h", band_keys().alias("keys"))
+
+
+def dealt_keys(hashes: DataFrame) -> DataFrame:
+    """h, keys, seen, alone of rows h, x, alone, four rows a set: the bands of minima over its parts.
+
+    The sum of ``seen`` over a set's rows is no more than its distinct hashes. ``alone``: the set has no other keys.
+    """
+    part = F.col("x").bitwiseAND(F.lit(PARTS - 1)).cast("int") + F.when(F.col("alone"), F.lit(PARTS)).otherwise(F.lit(0))
+    bit = F.expr("shiftleft(1L, cast(shiftright(x, 4) & 63 AS int))")
+    parts = hashes.select("h", "x", part.alias("part"), bit.alias("bit")).groupBy("h", "part").agg(*minima(F.col("x"), EACH), F.bit_or("bit").alias("seen"))
+    own = F.col("part").bitwiseAND(F.lit(PARTS - 1))
+    keys = [F.bit_xor(F.xxhash64(F.lit(BANDS + i), own, F.col(f"m{i}"))).alias(f"k{i}") for i in range(EACH)]
+    bands = parts.groupBy("h", F.floor(F.col("part") / ROWS).cast("int").alias("band")).agg(*keys, F.sum(F.bit_count("seen")).alias("seen"))
+    return bands.select("h", F.array(*[f"k{i}" for i in range(EACH)]).alias("keys"), "seen", (F.col("band") >= PARTS // ROWS).alias("alone"))
+
+
+def with_few(dealt: DataFrame) -> DataFrame:
+    """h of the sets without other keys that may be similar to sets of fewer than ``DEALT`` hashes."""
+    return dealt.filter("alone").groupBy("h").agg(F.sum("seen").alias("seen")).filter(TIMES * F.col("seen") <= OF * DEALT).select("h")
+
+
 def hot_keys(signed: DataFrame) -> list[int]:
     """Keys of buckets too large for one task; bounded by the sample."""
     every = max(1, signed.count() // HOT_SAMPLE)
@@ -202,7 +233,7 @@ def groups(
 ) -> DataFrame:
     """node, root of every item that is linked to another; root is the least item of the group.
 
-    ``signed``: a written table h, keys. ``sides_of`` gives (h, side, n) for a table of wanted h.
+    ``signed``: a written table h, keys of one or more rows an item. ``sides_of`` gives (h, side, n) for a table of wanted h.
     ``known``: pairs a, b from elsewhere that are verified first.
     """
     rows = scratch.table(shared_buckets(spark, signed), "buckets")

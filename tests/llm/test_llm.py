@@ -465,3 +465,28 @@ def test_no_pair_of_a_bucket_is_lost(spark, monkeypatch, block):
     signed = spark.createDataFrame([(h, [5, 6]) for h, _ in rows], "h long, keys array<long>")
     roots = resemblance.groups(spark, signed, lambda wanted: sides.join(wanted, "h"), lambda side: side, Scratch(spark, "family"))
     assert sorted((r.node, r.root) for r in roots.collect()) == sorted(expected)
+
+
+def test_dealt_minima_find_the_pairs(spark):
+    rng, rows, pairs = random.Random(7), [], 300
+    for i in range(pairs):
+        union = 100 + i % 150
+        hashes = [rng.getrandbits(31) for _ in range(union)]
+        own = union // 5
+        for side, left_out in enumerate((hashes[: own // 2], hashes[own // 2 : own])):
+            rows += [(2 * i + side, x, True) for x in hashes if x not in left_out]
+    sets = spark.createDataFrame(rows, "h long, x long, alone boolean")
+    keys = resemblance.dealt_keys(sets).select("h", F.explode("keys").alias("key")).toPandas().groupby("h")["key"].agg(set)
+    assert all(len(k) == resemblance.PARTS // resemblance.ROWS * resemblance.EACH for k in keys)
+    assert sum(not keys[2 * i] & keys[2 * i + 1] for i in range(pairs)) <= 1
+    assert sum(bool(keys[2 * i] & keys[2 * i + 2]) for i in range(pairs - 1)) == 0
+    # a hash meets EACH factors, not BANDS * ROWS
+    plan = resemblance.dealt_keys(sets)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("min(") == resemblance.EACH
+
+
+def test_long_lines_of_few_shingles_meet_short_ones(spark):
+    texts = ["ab" * 15, "ab" * 300, "wide and " * 6, "wide and " * 70, "".join(chr(0x4E00 + i) for i in range(95)), "".join(chr(0x4E00 + i) for i in range(90)) * 9]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    roots = {r.doc_id: r.component for r in lines.line_classes(spark, table).collect()}
+    assert roots[0] == roots[1] and roots[2] == roots[3] and roots[4] == roots[5] and len(set(roots.values())) == 3
