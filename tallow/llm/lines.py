@@ -21,16 +21,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallow.llm.common import Scratch, free_names, let, setting
-from tallow.llm.resemblance import DEALT, WHOLE, dealt_keys, groups, whole_keys, with_few
+from tallow.llm.common import Scratch, free_names, let
+from tallow.llm.resemblance import groups, masked_keys
 
 MIN_CHARS = 20
 SHINGLE = 8
 #: Bytes of a character (UTF-16).
 UNIT = 2
 BLANKS = " \t\r"
-#: Groups (a power of two) that the generated aggregation holds in its fast map: a task's lines times their parts.
-FAST_MAP, FAST_BITS = "spark.sql.codegen.aggregate.fastHashMap.capacityBit", "20"
+#: Shingles of a line whose minima are taken in one row.
+ABREAST = 16
 
 
 def normalised(line: Column) -> Column:
@@ -80,36 +80,27 @@ def shingles(side: Column) -> Column:
 
 
 def pieces(lines: DataFrame) -> DataFrame:
-    """The columns of ``lines`` (h, side and others) without side, and x: a row a shingle, its hash of 31 bits."""
-    rows = lines.withColumn("i", F.explode(starts(F.col("side"))))
-    hashed_piece = F.shiftrightunsigned(F.hash(F.substring("side", F.col("i"), SHINGLE * UNIT)), 1).cast("long")
-    return rows.select(*[c for c in lines.columns if c != "side"], hashed_piece.alias("x"))
+    """h and x0 to x15 of ``lines`` (h, side): a row for every ``ABREAST`` shingles, their hashes of 31 bits.
 
+    The last row of a line is filled up with its last shingle.
+    """
+    side = F.col("side")
+    last = F.greatest(F.lit(1), F.length(side) - (SHINGLE * UNIT - 1))
+    rows = lines.select("h", F.coalesce(side, F.lit(b"")).alias("side")).withColumn("i", F.explode(F.sequence(F.lit(1), last, F.lit(ABREAST * UNIT))))
+    places = [F.least(F.col("i") + F.lit(k * UNIT), last) for k in range(ABREAST)]
+    return rows.select("h", *[F.shiftrightunsigned(F.hash(F.substring(side, i, SHINGLE * UNIT)), 1).cast("long").alias(f"x{k}") for k, i in enumerate(places)])
 
-def signatures(docs: DataFrame, min_chars: int, scratch: Scratch) -> DataFrame:
-    """h, keys: the bands' keys of each distinct line, some rows a line.
 
-    A line's length bounds its set, so short lines have minima of the whole set and long ones of its
-    parts. Long lines of few different shingles are found afterwards and have both.
-    """
-    lines = distinct_lines(docs, min_chars).select("h", encoded(F.col("line")).alias("side"))
-    count = F.length("side") / UNIT - (SHINGLE - 1)
-    short = whole_keys(pieces(lines.filter(count <= WHOLE))).select("h", "keys", F.lit(0).cast("long").alias("seen"), F.lit(False).alias("alone"))
-    long = dealt_keys(pieces(lines.filter(count >= DEALT).select("h", "side", (count > WHOLE).alias("alone"))))
-    with setting(scratch.spark, FAST_MAP, FAST_BITS):
-        signed = scratch.table(short.union(long), "signed")
-    few = scratch.table(with_few(signed), "few")
-    if few.isEmpty():
-        return signed.select("h", "keys")
-    again = occurrences(docs, min_chars).select("h", "line").join(few, "h").dropDuplicates(["h"]).select("h", encoded(F.col("line")).alias("side"))
-    return signed.select("h", "keys").union(scratch.table(whole_keys(pieces(again)), "signed-few"))
+def signatures(docs: DataFrame, min_chars: int) -> DataFrame:
+    """h, keys: the bands' keys of each distinct line."""
+    return masked_keys(pieces(distinct_lines(docs, min_chars).select("h", encoded(F.col("line")).alias("side"))))
 
 
 def row_classes(spark: SparkSession, docs: DataFrame, min_chars: int, exhaustive: bool) -> DataFrame:
     """doc_id, row, line_no, line_hash, component (both null for lines that stay always), kept."""
     scratch = Scratch(spark, "lines")
     placed = scratch.table(occurrences(docs, min_chars).select("doc_id", "row", "line_no", "h"), "placed")
-    signed = signatures(docs, min_chars, scratch)
+    signed = scratch.table(signatures(docs, min_chars), "signed")
 
     def sides_of(wanted: DataFrame) -> DataFrame:
         rows = distinct_lines(docs, min_chars).join(wanted, "h").select("h", encoded(F.col("line")).alias("side"))
