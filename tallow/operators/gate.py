@@ -12,8 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallow.operators.ranks import percentiles, running
-from tallow.plans.checkpoints import cut
+from tallow.operators.ranks import percentiles
+from tallow.plans.checkpoints import cut, kept
 
 EPS = 1e-8
 
@@ -109,16 +109,17 @@ def pava_nonincreasing(values: list[float], weights: list[float]) -> list[float]
 def null_curve(rows: DataFrame, alpha: float, min_count: int = 200, max_bins: int = 24, monotone: bool = True) -> DataFrame:
     """(low, high, mu, n): the alpha quantile of delta_raw by span count."""
     spark = rows.sparkSession
-    sizes = [(r["n_spans"], r["n"]) for r in rows.groupBy("n_spans").agg(F.count("*").alias("n")).collect()]  # a row a span count
-    edges = null_bins(sizes, min_count, max_bins)
-    bins = spark.createDataFrame(edges, "low long, high long")
-    hit = (rows["n_spans"] > bins["low"]) & (rows["n_spans"] <= bins["high"])
-    curve = rows.join(F.broadcast(bins), hit).groupBy("low", "high").agg(F.percentile("delta_raw", alpha).alias("mu"), F.count("*").alias("n"))
-    if not monotone:
-        return curve
-    found = sorted(map(tuple, curve.collect()))
-    fitted = pava_nonincreasing([r[2] for r in found], [float(r[3]) for r in found])
-    return spark.createDataFrame([(lo, hi, mu, n) for (lo, hi, _, n), mu in zip(found, fitted)], "low long, high long, mu double, n long")
+    with kept(rows.select("n_spans", "delta_raw")) as few:
+        sizes = [(r["n_spans"], r["n"]) for r in few.groupBy("n_spans").agg(F.count("*").alias("n")).collect()]  # a row a span count
+        edges = null_bins(sizes, min_count, max_bins)
+        bins = spark.createDataFrame(edges, "low long, high long")
+        hit = (few["n_spans"] > bins["low"]) & (few["n_spans"] <= bins["high"])
+        mus = {r["low"]: r["value"] for r in percentiles(few.join(F.broadcast(bins), hit), "delta_raw", [alpha], ("low", "high")).collect()}  # a row a bin
+    found = [(lo, hi, mus.get(lo), n) for lo, hi in edges if (n := sum(n for m, n in sizes if lo < m <= hi))]
+    if monotone:
+        fitted = pava_nonincreasing([r[2] for r in found], [float(r[3]) for r in found])
+        found = [(lo, hi, mu, n) for (lo, hi, _, n), mu in zip(found, fitted)]
+    return spark.createDataFrame(found, "low long, high long, mu double, n long")
 
 
 def centre(rows: DataFrame, curve: DataFrame) -> DataFrame:
@@ -134,12 +135,13 @@ def scale(rows: DataFrame, pct: float, target: float) -> DataFrame:
     import math
 
     logit = math.log((1 + target) / (1 - target))
-    # exact, by the values' places: no task holds them all
-    q = percentiles(rows, "delta_hat", [pct]).agg(F.max("value").alias("q"))
-    positive = rows.filter("delta_hat > 0").groupBy("delta_hat").agg(F.count("*").alias("n"))
-    half = positive.agg((F.sum("n") / 2).alias("half"))
-    median = running(positive, ["delta_hat"], {"upto": F.col("n")}).crossJoin(F.broadcast(half)).filter("upto >= half").agg(F.min("delta_hat").alias("med"))
-    return q.crossJoin(median).select(F.when(F.col("q") > 0, F.col("q") / logit).when(F.col("med") > 0, F.col("med") / logit).otherwise(F.lit(1.0)).alias("s"))
+    spark = rows.sparkSession
+    with kept(rows.select("delta_hat")) as few:
+        q = next((r["value"] for r in percentiles(few, "delta_hat", [pct]).collect()), None)
+        falls_back = q is None or not q > 0
+        med = next((r["lower"] for r in percentiles(few.filter("delta_hat > 0"), "delta_hat", [0.5]).collect()), None) if falls_back else None
+    found = spark.createDataFrame([(q, med)], "q double, med double")
+    return found.select(F.when(F.col("q") > 0, F.col("q") / logit).when(F.col("med") > 0, F.col("med") / logit).otherwise(F.lit(1.0)).alias("s"))
 
 
 def sigmoid_gate(delta_hat: Column, s: Column) -> Column:

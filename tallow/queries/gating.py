@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from tallow.operators import gate as G
 from tallow.operators import scoring as S
 from tallow.operators import selection as K
-from tallow.queries.inputs import SIGNALS, TOKENS, view
+from tallow.plans.checkpoints import kept
+from tallow.queries.inputs import SIGNALS, TOKENS, token_shares, view
 
 CFG = G.GateConfig(span_tokens=2, tau=0.5)
 LOGIT = math.log(1.6 / 0.4)
@@ -83,8 +84,8 @@ def zero_rate_report(spark, d):
 
 
 def calibrate_scale(spark, d):
-    rows = G.components(_tokens(spark, d), CFG)
-    return rounded(G.scale(G.centre(rows, G.null_curve(rows, 0.05)), 0.10, 0.6))
+    with kept(*[G.components(t, CFG).select("n_spans", "delta_raw") for t in token_shares(spark, d)]) as rows:
+        return rounded(G.scale(G.centre(rows, G.null_curve(rows, 0.05)), 0.10, 0.6))
 
 
 def inpool_scale_fallback(spark, d):

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tallow.operators.ranks import SMALL
 
 TOKENS = """SELECT l_orderkey AS pool_id,
   row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate) - 1 AS pos,
@@ -36,6 +39,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Tables of more than SMALL rows are numbered in so many shares of their records, so that a shuffle carries one share.
+SHARES = 4
+
+
+def token_shares(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """The columns pool_id, pos, tr and cf of TOKENS, in shares by record that hold every record once.
+
+    Losses are found after the numbering: the shuffle carries lineitem's columns alone, and what is
+    grouped by record afterwards needs none of its own.
+    """
+    lines = table(spark, sf_dir, "lineitem")
+    shares = 1 if lines.limit(SMALL + 1).count() <= SMALL else SHARES
+    price = F.col("l_extendedprice") / 10000
+    order = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate"]
+    out = []
+    for i in range(shares):
+        own = lines.filter(F.pmod(F.xxhash64("l_orderkey"), F.lit(shares)) == i) if shares > 1 else lines
+        own = own.withColumn("pos", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*order)) - 1)
+        tr = price * (1 - F.col("l_discount") * (1 + F.col("l_tax")) * F.col("l_quantity") / 30)
+        out.append(own.select(F.col("l_orderkey").alias("pool_id"), "pos", price.alias("cf"), tr.alias("tr")))
+    return out
+
+
 def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """``sql`` over the tables it names; no view outlives the call by name."""
     import re

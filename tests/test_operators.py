@@ -229,3 +229,49 @@ def test_rank01_evaluates_its_rows_once(spark):
     unstable = F.udf(lambda i: i + random.random(), "double").asNondeterministic()
     ranked = scoring.rank01(spark.range(50).select("id", unstable("id").alias("x")), "x", "r")
     assert [round(r.r, 9) for r in ranked.orderBy("id").collect()] == [round(i / 49, 9) for i in range(50)]
+
+
+def test_curve_and_scale_evaluate_their_rows_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def value(i):
+        seen.add(1)
+        return float(i)
+
+    rows = spark.range(500).select((F.col("id") % 7 + 1).alias("n_spans"), F.udf(value, "double")("id").alias("delta_raw"))
+    curve = gate.null_curve(rows, 0.05, min_count=50).collect()
+    assert sum(r.n for r in curve) == 500 and seen.value == 500
+    s = gate.scale(rows.select((F.col("delta_raw") - 400).alias("delta_hat")), 0.1, 0.6).first().s
+    assert s == pytest.approx(50 / 1.3862943611198906) and seen.value == 1000
+
+
+def test_percentiles_by_group(spark, monkeypatch):
+    """Whatever the bounds of the first rounds hold."""
+    import numpy as np
+
+    from tallow.operators import ranks
+
+    rng = random.Random(7)
+    values = {g: [rng.choice([rng.gauss(0, 1), 0.5]) for _ in range(n)] for g, n in ((None, 900), (1, 1), (2, 400))}
+    rows = spark.createDataFrame([(g, x) for g, xs in values.items() for x in [*xs, None]] + [(3, None)], "g int, x double").repartition(3)
+    for margins in ((0.001, 0.02, 1.0), (0.0, 1.0), (1.0,)):
+        monkeypatch.setattr(ranks, "MARGINS", margins)
+        found = {(r.g, r.share): (r.value, r.lower) for r in ranks.percentiles(rows, "x", [0.05, 0.5, 0.9], ("g",)).collect()}
+        assert set(found) == {(g, q) for g in values for q in (0.05, 0.5, 0.9)}
+        for (g, q), got in found.items():
+            assert got == pytest.approx((np.quantile(values[g], q), np.quantile(values[g], q, method="lower")))
+
+
+def test_token_shares_hold_every_token(spark, monkeypatch):
+    import compare
+
+    from tallow.queries import gating, inputs
+
+    monkeypatch.setattr(inputs, "SMALL", 10)
+    shares = inputs.token_shares(spark, compare.SF)
+    whole = inputs.view(spark, compare.SF, inputs.TOKENS).select(*shares[0].columns)
+    assert len(shares) == 4 and all(x.count() for x in shares)
+    assert sorted(map(tuple, whole.collect())) == sorted(tuple(r) for x in shares for r in x.collect())
+    plan = gate.components(shares[0], gating.CFG)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1
+    assert compare.difference(spark, compare.connection(), gating.calibrate_scale, gating.ORACLE_SQL["calibrate_scale"]) == ""
