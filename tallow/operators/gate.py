@@ -68,6 +68,18 @@ def components(tokens: DataFrame, cfg: GateConfig) -> DataFrame:
     return rows.withColumn("delta_raw", F.least("delta_bar", "delta_min"))
 
 
+def sweep(tokens: DataFrame, widths: tuple[int, ...], taus: tuple[float, ...]) -> DataFrame:
+    """By record and width: delta_raw_i and n_valid_spans_i of ``components`` at the i-th tau; one pass over the tokens for all."""
+    wide = tokens.withColumn("w", F.explode(F.array(*map(F.lit, widths))))
+    parts = wide.groupBy("pool_id", "w", F.floor(F.col("pos") / F.col("w")).alias("m")).agg(F.sum("tr").alias("span_true"), F.sum("cf").alias("span_cf"), F.count("*").alias("span_len"))
+    g = gain(F.col("span_true"), F.col("span_cf"))
+    tails = [F.min(F.when(valid(1, tau), g)).alias(f"tail_{i}") for i, tau in enumerate(taus)]
+    counts = [F.count_if(valid(1, tau)).cast("int").alias(f"n_valid_spans_{i}") for i, tau in enumerate(taus)]
+    rows = parts.groupBy("pool_id", "w").agg(gain(F.sum("span_true"), F.sum("span_cf")).alias("delta_bar"), *tails, *counts)
+    raws = [F.least("delta_bar", F.coalesce(f"tail_{i}", "delta_bar")).alias(f"delta_raw_{i}") for i in range(len(taus))]
+    return rows.select("pool_id", "w", *raws, *[f"n_valid_spans_{i}" for i in range(len(taus))])
+
+
 def prefix_gain(tokens: DataFrame, n: int) -> DataFrame:
     early = F.col("pos") < n
     return tokens.groupBy("pool_id").agg(gain(F.sum(F.when(early, F.col("tr"))), F.sum(F.when(early, F.col("cf")))).alias("prefix_gain"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tallow.operators import gate as G
 from tallow.operators import scoring as S
 from tallow.operators import selection as K
+from tallow.operators.ranks import percentiles
 from tallow.plans.checkpoints import kept
 from tallow.queries.inputs import SIGNALS, TOKENS, token_shares, view
 
@@ -124,14 +125,15 @@ def gate_distribution(spark, d):
 
 
 def gate_config_sweep(spark, d):
-    out = None
-    for w in (1, 2, 4):
-        for tau in (0.5, 2.0):
-            c = G.components(_tokens(spark, d), G.GateConfig(span_tokens=w, tau=tau))
-            row = c.agg(F.avg((F.col("delta_raw") > 0).cast("double")).alias("raw_positive"), F.percentile("delta_raw", 0.5).alias("median"), F.avg("n_valid_spans").alias("valid_spans"))
-            row = row.select(F.lit(w).alias("w"), F.lit(tau).alias("tau"), "*")
-            out = row if out is None else out.unionByName(row)
-    return rounded(out)
+    widths, taus = (1, 2, 4), (0.5, 2.0)
+    with kept(*[G.sweep(t, widths, taus).drop("pool_id") for t in token_shares(spark, d)]) as records:
+        at = F.explode(F.array(*[F.struct(F.lit(tau).alias("tau"), F.col(f"delta_raw_{i}").alias("delta_raw"), F.col(f"n_valid_spans_{i}").alias("n")) for i, tau in enumerate(taus)]))
+        rows = records.select("w", at.alias("x")).select("w", "x.*")
+        means = rows.groupBy("w", "tau").agg(F.avg(F.when(F.col("delta_raw") > 0, 1.0).otherwise(0.0)).alias("raw_positive"), F.avg("n").alias("valid_spans"))
+        mean = {(r["w"], r["tau"]): r for r in means.collect()}
+        median = {(r["w"], r["tau"]): r["value"] for r in percentiles(rows, "delta_raw", [0.5], ("w", "tau")).collect()}
+    out = [(w, tau, r and r["raw_positive"], median.get((w, tau)), r and r["valid_spans"]) for w in widths for tau in taus for r in [mean.get((w, tau))]]
+    return rounded(spark.createDataFrame(out, "w int, tau double, raw_positive double, median double, valid_spans double"))
 
 
 def _sweep_sql():

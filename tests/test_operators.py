@@ -275,3 +275,34 @@ def test_token_shares_hold_every_token(spark, monkeypatch):
     plan = gate.components(shares[0], gating.CFG)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange ") == 1
     assert compare.difference(spark, compare.connection(), gating.calibrate_scale, gating.ORACLE_SQL["calibrate_scale"]) == ""
+
+
+def test_sweep_reads_the_tokens_once(spark, monkeypatch):
+    import compare
+
+    from tallow.queries import gating, inputs
+
+    tokens = inputs.token_shares(spark, compare.SF)[0]
+    swept = gate.sweep(tokens, (1, 4), (0.5, 2.0))
+    assert swept._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+    for w in (1, 4):
+        for i, tau in enumerate((0.5, 2.0)):
+            one = gate.components(tokens, gate.GateConfig(span_tokens=w, tau=tau)).select("pool_id", "delta_raw", "n_valid_spans")
+            assert sorted(map(tuple, one.collect())) == sorted(map(tuple, swept.filter(F.col("w") == w).select("pool_id", f"delta_raw_{i}", f"n_valid_spans_{i}").collect()))
+    monkeypatch.setattr(inputs, "SMALL", 10)
+    assert compare.difference(spark, compare.connection(), gating.gate_config_sweep, gating.ORACLE_SQL["gate_config_sweep"]) == ""
+
+
+def test_sweep_of_odd_tables(spark, tmp_path):
+    """Records without losses count as not positive; an empty table has its six rows."""
+    import compare
+
+    from tallow.queries import gating
+
+    lines = spark.read.parquet(f"{compare.SF}/lineitem.parquet").limit(300)
+    gone = F.when(F.col("l_orderkey") % 3 != 0, F.col("l_extendedprice"))
+    for name, rows in (("nulls", lines.withColumn("l_extendedprice", gone)), ("empty", lines.limit(0))):
+        rows.coalesce(1).write.parquet(f"{tmp_path}/{name}/lineitem.parquet")
+        con = compare.duckdb.connect()
+        con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/{name}/lineitem.parquet/*.parquet'")
+        assert compare.difference(spark, con, gating.gate_config_sweep, gating.ORACLE_SQL["gate_config_sweep"], f"{tmp_path}/{name}") == ""
